@@ -68,68 +68,117 @@ class PieceEncoder:
     """``tokenizers`` encodings of whole texts, as little-endian uint32 bytes.
 
     The vocabulary's pre-tokenizer never lets a token cross from a non-space
-    into a space, so a text may be cut before each single space that a
-    non-space follows; pieces repeat, and each is encoded once and kept.
-    ``limit`` bounds the kept pieces (the first, hence most frequent, stay).
+    into white space, over a line feed between non-spaces, or from a letter to
+    a punctuation mark. So a text may be cut before each single space that a
+    non-space follows, and such a piece at line feeds and before a last mark;
+    the parts repeat, and each is encoded once and kept. ``limit`` bounds what
+    is kept (the first, hence most frequent, stay).
     """
 
     CUT = re.compile(r"(?<=\S) (?=\S)")
+    MARKS = frozenset(".,;:!?")
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # In a byte-level vocabulary a token has one character for each byte.
+        size = {i: len(t) for t, i in self.tokenizer.get_vocab().items()}
+        self.lengths = np.array([size.get(i, 0) for i in range(max(size) + 1)], np.int64)
         self.limit = limit
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes | None] = {}
+        self.parts: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes | None] = {}
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _many(self, parts: list[str], between: str) -> list[bytes]:
+        """Encodes parts side by side (they start with a space), or with a line
+        feed between them; token lengths in bytes tell them apart again."""
+        out: list[bytes] = []
+        gap = len(between)
+        for at in range(0, len(parts), 4_000):
+            some = parts[at : at + 4_000]
+            found = self.tokenizer.encode_batch_fast([between.join(some)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
+            stops = np.cumsum(self.lengths[ids])  # byte after each token
+            sizes = np.fromiter((len(p.encode()) for p in some), np.int64, len(some))
+            last = np.cumsum(sizes + gap) - gap
+            ends = np.searchsorted(stops, last) + 1
+            starts = np.searchsorted(stops, last - sizes, side="right")
+            raw = ids.tobytes()
+            out.extend([raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)])
+        return out
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def _parts_of(self, piece: str) -> list[str]:
+        if "\n" not in piece:
+            return [piece[:-1], piece[-1]] if piece[-1] in self.MARKS and len(piece) > 2 and piece[-2].isalpha() else [piece]
+        lines = piece.split("\n")
+        if not all(lines) or any(x[0].isspace() for x in lines[1:]) or any(x[-1].isspace() for x in lines[:-1]):
+            return [piece]
+        out = self._parts_of(lines[0])
+        for line in lines[1:]:
+            out.append("\n")
+            out += self._parts_of(line)
+        return out
+
+    def _resolve(self, pieces: list[str]) -> dict[str, bytes]:
+        cut = {p: self._parts_of(p) for p in pieces}
+        new = {x for parts in cut.values() for x in parts} - self.parts.keys()
+        spaced, bare = [], []
+        for x in new:
+            core = x.split()
+            if len(core) == 1 and "<|" not in x:
+                if len(core[0]) == len(x):
+                    bare.append(x)
+                elif x[0] == " " and len(core[0]) + 1 == len(x):
+                    spaced.append(x)
+        got = dict(zip(spaced, self._many(spaced, ""), strict=True))
+        got.update(zip(bare, self._many(bare, "\n"), strict=True))
+        got.update((x, self._one(x)) for x in new - got.keys())
+        known = self.parts
+        if len(known) + len(got) <= self.limit:
+            known.update(got)
+        else:
+            known.update((x, got[x]) for x in list(got)[: max(0, self.limit - len(known))] if len(x) <= 24)
+        look = lambda x: known[x] if x in known else got[x]
+        return {p: b"".join(map(look, parts)) for p, parts in cut.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
+        """The ids of each text."""
+        split = [t.split(" ") for t in texts]
         need: set[str] = set()
-        for p in parts:
-            need.update(p[1:])
-        known = self.tails
+        for s in split:
+            need.update(s[1:])
+        known = self.pieces
         new = [p for p in need if p not in known]
         # A piece that is empty or starts with white space follows a run of
         # white space: its text is cut by the slower, exact pattern instead.
         odd = {p for p in new if not p or p[0].isspace()}
-        plain = [p for p in new if p not in odd]
-        got = dict(zip(plain, self._ids([" " + p for p in plain]), strict=True))
-        got.update(dict.fromkeys(odd))
+        got: dict[str, bytes | None] = {}
+        heads = [s[0] for s in split if s[0]]
+        found = self._resolve([" " + p for p in new if p not in odd] + heads)
+        for p in new:
+            got[p] = None if p in odd else found[" " + p]
         if len(known) + len(got) <= self.limit:
             known.update(got)
             look = known.__getitem__
         else:
-            short = {k: v for k, v in got.items() if len(k) <= 24}
             room = max(0, self.limit - len(known))
-            known.update(dict(list(short.items())[:room]))
+            known.update((p, got[p]) for p in list(got)[:room] if len(p) <= 24)
             both = got | {p: known[p] for p in need if p in known}
             look = both.__getitem__
         out = []
-        for text, part in zip(texts, parts, strict=True):
+        for text, part in zip(texts, split, strict=True):
             values = list(map(look, part[1:]))
             if None in values:
                 cut = self.CUT.split(text)
-                rest = self._ids([" " + p for p in cut[1:]])
-                out.append(b"".join([self._head(cut[0]), *rest]))
+                out.append(b"".join([self._one(cut[0]), *(self._one(" " + p) if any(map(str.isspace, p)) else self._resolve([" " + p])[" " + p] for p in cut[1:])]))
             else:
-                out.append(b"".join([self._head(part[0]), *values]))
+                out.append(b"".join([found[part[0]] if part[0] else b"", *values]))
         return out
 
-    def _head(self, piece: str) -> bytes:
-        if not piece:
-            return b""
-        if piece not in self.heads:
-            if len(piece) > 24 or len(self.heads) >= self.limit:
-                return self._ids([piece])[0]
-            self.heads[piece] = self._ids([piece])[0]
-        return self.heads[piece]
-
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
