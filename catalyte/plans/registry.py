@@ -1,4 +1,4 @@
-"""The query registry: every query with its DuckDB oracle where SQL has one."""
+"""All registered queries and their oracles."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import aggregates, catalogue, extensions, keyed, linkage, pages, quality, search, text  # noqa: F401
+from .base import ORACLES, QUERIES
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
