@@ -196,13 +196,13 @@ def lead_pairs(t):
 @query(
     "q79_mode_in_array",
     """
-    WITH l AS (SELECT doc_id, unnest(string_split(lower(left(text, 400)), '')) AS c, generate_subscripts(string_split(lower(left(text, 400)), ''), 1) AS p FROM documents),
-    g AS (SELECT doc_id, c, count(*) AS n, min(p) AS p FROM l GROUP BY 1, 2) SELECT doc_id, arg_max(c, n * 1000 - p) AS top FROM g GROUP BY 1
+    WITH l AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS c, generate_subscripts(string_split(lower(text), ' '), 1) AS p FROM documents),
+    g AS (SELECT doc_id, c, count(*) AS n, min(p) AS p FROM l GROUP BY 1, 2) SELECT doc_id, arg_max(c, n * 1000000000 - p) AS top FROM g GROUP BY 1
     """,
 )
 def mode_in_array(t):
-    letters = t.documents.select("doc_id", F.posexplode(F.split(F.lower(F.substring("text", 1, 400)), "")).alias("p", "c")).where("c <> ''")
-    g = letters.groupBy("doc_id", "c").agg(F.count("*").alias("n"), F.min("p").alias("p"))
+    words = t.documents.select("doc_id", F.posexplode(F.split(F.lower("text"), " ")).alias("p", "c"))
+    g = words.groupBy("doc_id", "c").agg(F.count("*").alias("n"), F.min("p").alias("p"))
     return g.groupBy("doc_id").agg(F.max_by("c", F.struct("n", -F.col("p"))).alias("top"))
 
 
@@ -283,12 +283,12 @@ def sample_verdicts(t):
 @query(
     "q98_slices_flat",
     """
-    SELECT doc_id, md5(lang || '|' || source || '|' || lang || '|' || left(text, 50)) AS slices,
+    SELECT doc_id, md5(lang || '|' || source || '|' || lang || '|' || text) AS slices,
       '{' || '"lang":"' || lang || '"' || CASE WHEN doc_id % 2 = 0 THEN ',"source":"' || source || '"' ELSE '' END || '}' AS body FROM documents
     """,
 )
 def slices_flat(t):
-    m = F.create_map(F.lit("a"), F.array("lang", "source"), F.lit("b"), F.array(F.col("lang"), F.substring("text", 1, 50)))
+    m = F.create_map(F.lit("a"), F.array("lang", "source"), F.lit("b"), F.array("lang", "text"))
     body = F.to_json(F.struct("lang", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("source")))
     return t.documents.select("doc_id", F.md5(F.array_join(P.slices_of(m), "|")).alias("slices"), body.alias("body"))
 

@@ -99,13 +99,11 @@ def template_conformance(t):
     return fine.agg(F.count("*").alias("n"), F.count_if(~F.col("url").rlike("^https?://[^/]+/[a-z]{2}/[0-9]+")).alias("bad"))
 
 
-HEADS = "h AS (SELECT p_partkey, split_part(p_name, ' ', 2) AS head, CASE WHEN p_size % 4 = 0 THEN '' ELSE split_part(p_name, ' ', 1) END AS tail, p_size FROM part)"
-
-
 @query(
     "q59_head_router",
-    f"""
-    WITH {HEADS}, q AS (SELECT p_partkey, head, tail FROM h WHERE p_size <= 10), e AS (SELECT p_partkey AS code, head, tail FROM h WHERE p_size >= 45 AND head <> 'ring'),
+    """
+    WITH q AS (SELECT p_partkey, split_part(p_name, ' ', 2) AS head, CASE WHEN p_size % 4 = 0 THEN '' ELSE split_part(p_name, ' ', 1) END AS tail FROM part),
+    e AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS head, CASE WHEN p_brand = 'Brand#1' THEN '' ELSE split_part(p_name, ' ', 1) END AS tail FROM part WHERE NOT suffix(p_name, 'ring') AND p_type = 'PROMO'),
     m AS (SELECT q.p_partkey, q.tail <> '' AND e.tail <> '' AND q.tail <> e.tail AS veto FROM q JOIN e USING (head)),
     g AS (SELECT p_partkey, count(*) FILTER (NOT veto) AS n, count(*) FILTER (veto) AS v FROM m GROUP BY 1)
     SELECT q.p_partkey, CASE WHEN coalesce(n, 0) > 0 THEN 'matched' WHEN coalesce(v, 0) > 0 THEN 'vetoed' ELSE 'no head' END AS outcome, coalesce(n, 0) AS n_candidates, coalesce(v, 0) AS n_vetoed,
@@ -113,11 +111,11 @@ HEADS = "h AS (SELECT p_partkey, split_part(p_name, ' ', 2) AS head, CASE WHEN p
     """,
 )
 def head_router(t):
-    words = F.split("p_name", " ")
-    tail = F.when(F.col("p_size") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(words[0]))
-    h = t.part.select("p_partkey", F.try_element_at(words, F.lit(2)).alias("head"), tail.alias("tail"), "p_size")
-    entries = h.where("p_size >= 45 AND head <> 'ring'").select(F.col("p_partkey").alias("code"), "head", "tail")
-    return L.route_by_head(h.where("p_size <= 10").select("p_partkey", "head", "tail"), entries, "p_partkey", "code")
+    words, silent = F.split("p_name", " "), F.array().cast("array<string>")
+    head, first = F.try_element_at(words, F.lit(2)).alias("head"), F.array(words[0])
+    queries = t.part.select("p_partkey", head, F.when(F.col("p_size") % 4 == 0, silent).otherwise(first).alias("tail"))
+    entries = t.part.where("NOT endswith(p_name, 'ring') AND p_type = 'PROMO'").select(head, F.when(F.col("p_brand") == "Brand#1", silent).otherwise(first).alias("tail")).distinct()
+    return L.route_by_head(queries, entries.withColumn("code", F.concat_ws(" ", "head", F.array_join("tail", " "))), "p_partkey", "code")
 
 
 @query(
@@ -135,13 +133,13 @@ def best_containment(t):
 
 @query("q61_injective_match")
 def injective_match(t):
-    pool = t.part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("pos"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("pool_name"))
-    names = t.part.where("p_partkey % 50 = 0").select(F.concat("p_name", F.lit(" — "), F.lower("p_brand")).alias("name")).distinct()
-    return L.injective_match(L.candidate_edges(names, pool))
+    pool = t.part.groupBy(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("pool_name")).agg(F.min("p_partkey").alias("id"))
+    names = t.part.select(F.concat("p_name", F.lit(" — "), F.lower("p_brand")).alias("name")).distinct()
+    return L.injective_match(L.candidate_edges(names, pool.withColumn("pos", F.col("id"))))
 
 
 CARRIERS = f"""
-    d AS (SELECT doc_id, lang, source, {PLAIN.format(x="text")} AS w, trim(regexp_replace(strip_accents(lower(substr(text, 1, 40))), '[^a-z0-9]+', ' ', 'g')) AS title FROM documents),
+    d AS (SELECT doc_id, lang, source, {PLAIN.format(x="text")} AS w, trim(regexp_replace(strip_accents(lower(split_part(text, chr(10), 1))), '[^a-z0-9]+', ' ', 'g')) AS title FROM documents),
     s AS (SELECT doc_id, lang, source, title, unnest(w) AS token FROM d),
     g AS (SELECT token, count(*) AS series, count(DISTINCT title) AS titles FROM s WHERE NOT regexp_full_match(token, '[0-9]+') GROUP BY 1 HAVING count(*) >= 8),
     tc AS (SELECT token, source, count(*) AS n, min(doc_id) AS r FROM s SEMI JOIN g USING (token) GROUP BY 1, 2),
@@ -151,7 +149,7 @@ CARRIERS = f"""
 
 
 def _carriers(t, docs=None):
-    d = (docs if docs is not None else t.documents).select("doc_id", "source", T.content_words(F.col("text"), []).alias("w"), T.norm_title(F.substring("text", 1, 40)).alias("title"))
+    d = (docs if docs is not None else t.documents).select("doc_id", "source", T.content_words(F.col("text"), []).alias("w"), T.norm_title(F.substring_index("text", "\n", 1)).alias("title"))
     return L.token_carriers(d, "doc_id", "title", "source", "w").select("token", "series", "titles", "theme", "theme_share")
 
 
@@ -180,9 +178,9 @@ def vocab_anti(t):
 
 
 NEAR = f"""
-    n AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS name FROM part WHERE p_partkey % 10 = 0),
+    n AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS name FROM part),
     q AS (SELECT name, {PLAIN.format(x="name")} AS qt FROM n), qs AS (SELECT name, len(qt) AS n, unnest(qt) AS token FROM q),
-    e AS (SELECT p_partkey AS id, {PLAIN.format(x="p_name || ' ' || p_brand")} AS et FROM part WHERE p_partkey % 10 = 1), es AS (SELECT id, len(et) AS size, unnest(et) AS token FROM e),
+    e AS (SELECT p_partkey AS id, {PLAIN.format(x="p_name || ' ' || p_brand")} AS et FROM part), es AS (SELECT id, len(et) AS size, unnest(et) AS token FROM e),
     sh AS (SELECT name, n, id, size, count(*) AS shared FROM qs JOIN es USING (token) GROUP BY ALL)
 """
 
@@ -195,8 +193,8 @@ NEAR = f"""
     """,
 )
 def worksheet_top3(t):
-    names = t.part.where("p_partkey % 10 = 0").select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name")).distinct()
-    pool = t.part.where("p_partkey % 10 = 1").select(F.col("p_partkey").alias("id"), T.content_words(F.concat_ws(" ", "p_name", "p_brand"), []).alias("e_tokens"))
+    names = t.part.select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name")).distinct()
+    pool = t.part.select(F.col("p_partkey").alias("id"), T.content_words(F.concat_ws(" ", "p_name", "p_brand"), []).alias("e_tokens"))
     return L.nearest(names.select("name", T.content_words(F.col("name"), []).alias("q_tokens")), pool)
 
 

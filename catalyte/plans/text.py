@@ -297,7 +297,7 @@ def language_choice(t):
 )
 def unit_capture(t):
     caption = F.when(F.col("doc_id") % 3 == 0, "ver o gráfico ampliado Taxa - % ver tabela completa").when(F.col("doc_id") % 3 == 1, "ampliado Euro (a partir de 1/1/1999) - Média ver tabela comple ver tabela completa").otherwise("ampliado 12 345 678 ver tabela completa")
-    slices = F.array(caption, F.lit("ampliado Euro (a partir de 1/1"), F.lit("tir de 1/1/1999) ver tabela completa"), F.substring("text", 1, 200))
+    slices = F.array(caption, F.lit("ampliado Euro (a partir de 1/1"), F.lit("tir de 1/1/1999) ver tabela completa"), F.col("text"))
     return t.documents.select("doc_id", P.first_mode(P.unit_candidates(slices)).alias("unit"))
 
 
