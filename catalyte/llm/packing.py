@@ -134,11 +134,12 @@ def place(pieces: DataFrame, capacity: int = 2048, per_bucket: int = 100_000) ->
     keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     counts = keyed.groupBy("bucket", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("bucket", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # New names: both sides of the cogroup come from one table.
+    bases = counts.select(F.col("bucket").alias("b"), F.col("length").alias("size"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
     def work(rows: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         starts, segments = shared.value
-        first = dict(zip(base["length"], base["base"], strict=True))
+        first = dict(zip(base["size"], base["base"], strict=True))
         rows = rows.sort_values(["length", "doc_id", "piece"], kind="stable").reset_index(drop=True)
         size = rows["length"].to_numpy()
         rank = rows.groupby("length").cumcount().to_numpy() + rows["length"].map(first).to_numpy()
@@ -148,7 +149,7 @@ def place(pieces: DataFrame, capacity: int = 2048, per_bucket: int = 100_000) ->
         rows["offset"] = s[:, 5] + local % s[:, 3] * size
         return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    return keyed.groupBy("bucket").cogroup(bases.groupBy("bucket")).applyInPandas(work, PIECES + ", sequence_id long, offset long")
+    return keyed.groupBy("bucket").cogroup(bases.groupBy("b")).applyInPandas(work, PIECES + ", sequence_id long, offset long")
 
 
 def _segment(starts: np.ndarray, segments: np.ndarray, size: np.ndarray, rank: np.ndarray) -> np.ndarray:

@@ -47,6 +47,26 @@ def components(prints: list[int], distance: int = 4) -> list[int]:
     return [find(a) for a in range(len(prints))]
 
 
+def similar(prints: list[bytes], most: int, positions) -> list[int]:
+    """The lowest index each index reaches over pairs that agree on all bits of
+    one block and differ in at most ``most`` bits."""
+    bits = [np.unpackbits(np.frombuffer(p, np.uint8)) for p in prints]
+    root = list(range(len(prints)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(prints)):
+        for b in range(a):
+            off = bits[a] != bits[b]
+            if off.sum() <= most and not all(off[list(p)].any() for p in positions):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return [find(a) for a in range(len(prints))]
+
+
 def repeated(docs: list[tuple[int, str | None]], n: int = 50) -> dict[int, dict[int, int]]:
     """doc -> start of each n-word stretch that two documents hold -> the lowest
     doc that holds it."""

@@ -653,9 +653,37 @@ def test_links_join_all_close_fingerprints(spark, chunk):
     assert {frozenset(c) for c in classes.values()} == {frozenset(x for x in (s[0] for s in signed) if got.get(x, x) == root) for root in {got.get(s[0], s[0]) for s in signed}}
 
 
-def test_one_of_each(spark, docs):
+def similar_classes(texts):
+    ids = sorted(texts)
+    prints = [simhash.long_fingerprint(texts[d] or "") for d in ids]
+    return {d: ids[r] for d, r in zip(ids, brute.similar(prints, simhash.allowed_bits(0.8), simhash._POSITIONS), strict=True)}
+
+
+def test_long_fingerprint_is_a_majority():
+    text = "a B c d e f g h i j"
+    hashes = np.unique(common.window_hashes(common.word_hashes(text.lower()), 5))
+    want = []
+    for k in range(4):
+        for byte in range(8):
+            for bit in reversed(range(8)):
+                votes = sum(int(common.mix(hashes + np.uint64(k))[x]) >> (8 * byte + bit) & 1 for x in range(len(hashes)))
+                want.append(2 * votes > len(hashes))
+    assert np.unpackbits(np.frombuffer(simhash.long_fingerprint(text), np.uint8)).tolist() == want
+    assert simhash.long_fingerprint(" ") == bytes(32) != simhash.long_fingerprint("x") and simhash.long_fingerprint("A b") == simhash.long_fingerprint("a  B")
+
+
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_similar_documents(docs, chunk):
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs, chunk=chunk).collect()}
+    assert got == similar_classes({r[0]: r[1] for r in awkward()})
+    assert len({got[k] for k in range(18, 26)}) == 1 and got[5] == got[6] == got[7]
+    assert len({got[k] for k in range(26, 51)}) == 25
+
+
+def test_one_of_each(spark, docs, none):
     left = simhash.one_of_each(docs)
-    classes = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    classes = similar_classes({r[0]: r[1] for r in awkward()})
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == sorted(set(classes.values()))
     rows = [(1, "a"), (1, "a"), (None, "a"), (None, "b")]
     assert rows_of(simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")), "text") == [("a",), ("a",), ("b",)]
+    assert simhash.one_of_each(none).count() == 0
