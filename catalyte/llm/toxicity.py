@@ -86,34 +86,36 @@ def pooled(sums: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarra
 
 def train(texts: list[str], labels: np.ndarray, dims: int = 8, buckets: int = 1 << 17, window: int = 4, rounds: int = 60, rate: float = 0.3, decay: float = 1e-4, least: int = 5, seed: int = 0) -> Model:
     """Joint training of embeddings and softmax on labelled texts."""
-    if not len(labels) or labels.min() == labels.max():
+    if not len(labels) or labels.min() == labels.max() or not any(map(words_of, texts)):
         share = (labels.sum() + 0.5) / (len(labels) + 1)
         return Model(np.zeros(buckets, np.float32), float(np.log(share / (1 - share))), window)
     random = np.random.default_rng(seed)
-    ids: dict[str, int] = {}
-    spots, doc, begin = [], [], []
-    for d, text in enumerate(texts):
-        own = [ids.setdefault(w, len(ids)) for w in words_of(text)]
-        at = np.arange(0, max(1, len(own) - window // 2), window // 2)
-        for s in at:
-            spots.append(own[s : s + window])
-            doc.append(d)
-    words = list(ids)
-    subs, counts = subwords(words, buckets)
+    index: dict[str, int] = {}
+    lists = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], np.int32) for t in texts]
+    subs, counts = subwords(list(index), buckets)
+    subs = subs.astype(np.int32)
     first = np.cumsum(counts) - counts
-    size = np.fromiter(map(len, spots), np.int64, len(spots))
-    flat = np.fromiter((w for s in spots for w in s), np.int64, int(size.sum()))
-    owner = np.repeat(np.arange(len(spots)), size)
-    doc = np.array(doc)
-    total = np.maximum(np.bincount(owner, counts[flat], len(spots)), 1.0)
-    doc_start = np.flatnonzero(np.diff(doc, prepend=-1))
     # Buckets that fewer than `least` documents use stay zero: what one document
     # alone shows is no evidence.
-    pairs = np.unique(np.stack([doc[owner], flat]), axis=1)
-    spread = np.repeat(np.arange(pairs.shape[1]), counts[pairs[1]])
-    at = np.arange(len(spread)) - np.repeat(np.cumsum(counts[pairs[1]]) - counts[pairs[1]], counts[pairs[1]]) + first[pairs[1]][spread]
-    seen = np.unique(pairs[0][spread] * buckets + subs[at])
-    known = np.bincount(seen % buckets, minlength=buckets) >= least
+    spread = np.zeros(buckets, np.int32)
+    for own in map(np.unique, lists):
+        many = counts[own]
+        at = np.repeat(first[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        spread[np.unique(subs[at])] += 1
+    known = spread >= least
+    # Windows as ranges over all words of all documents.
+    flat = np.concatenate(lists)
+    begins, ends, doc, at = [], [], [], 0
+    for d, own in enumerate(lists):
+        starts = np.arange(0, max(1, len(own) - window // 2), window // 2)
+        begins.append(at + starts)
+        ends.append(at + np.minimum(starts + window, len(own)))
+        doc.append(np.full(len(starts), d))
+        at += len(own)
+    begins, ends, doc = np.concatenate(begins), np.concatenate(ends), np.concatenate(doc)
+    sums = np.concatenate([[0], np.cumsum(counts[flat])])
+    total = np.maximum(sums[ends] - sums[begins], 1).astype(np.float64)
+    doc_start = np.flatnonzero(np.diff(doc, prepend=-1))
     embed = random.normal(0, 0.1, (buckets, dims)) * known[:, None]
     weight = random.normal(0, 0.5, (dims, 2))
     bias = np.zeros(2)
@@ -122,8 +124,8 @@ def train(texts: list[str], labels: np.ndarray, dims: int = 8, buckets: int = 1
     for step in range(rounds):
         difference = weight[:, 1] - weight[:, 0]
         per_bucket = embed @ difference
-        word = np.add.reduceat(per_bucket[subs], first)
-        score = np.bincount(owner, word[flat], len(spots)) / total + bias[1] - bias[0]
+        sums = np.concatenate([[0.0], np.cumsum(np.add.reduceat(per_bucket[subs], first)[flat])])
+        score = (sums[ends] - sums[begins]) / total + bias[1] - bias[0]
         # Soft maximum over a document's windows, harder as training goes on.
         heat = 1.0 + 4.0 * step / rounds
         top = np.maximum.reduceat(score, doc_start)
@@ -132,8 +134,9 @@ def train(texts: list[str], labels: np.ndarray, dims: int = 8, buckets: int = 1
         value = np.add.reduceat(share * score, doc_start)
         gap = (1 / (1 + np.exp(-value)) - labels) * balance / len(labels)
         g = gap[doc] * share  # gradient of each window's score
-        live = np.abs(g) > 1e-9 / len(labels)
-        per_word = np.bincount(flat, np.where(live, g / total, 0)[owner], len(words))
+        part = g / total
+        each = np.cumsum(np.bincount(begins, part, len(flat) + 1) - np.bincount(ends, part, len(flat) + 1))[:-1]
+        per_word = np.bincount(flat, each, len(index))
         per_sub = np.bincount(subs, np.repeat(per_word, counts), buckets)
         grad_w = embed.T @ per_sub
         on = np.flatnonzero(known & (per_sub != 0))
@@ -182,10 +185,11 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, per_class: int = 2000, lo
     text counts once."""
     own = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     one = own.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").select("doc_id", "toxic")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.length("text").between(1, longest))
-    joined = texts.join(one, "doc_id")
-    rows = [r for c in (0, 1) for r in joined.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
-    kept = {r["text"]: r["toxic"] for r in sorted(rows, key=lambda r: (r["toxic"], r["doc_id"]))}
+    few = [one.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # at most twice per_class ids
+    rows = texts.join(F.broadcast(few[0].union(few[1])), "doc_id").where(F.length("text").between(1, longest)).collect()
+    kept = {r["text"]: r["toxic"] for r in sorted(rows, key=lambda r: (r["toxic"], r["doc_id"], r["text"]))}
     return list(kept), np.array(list(kept.values()), np.int64)
 
 
