@@ -64,19 +64,23 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 8 << 20):
 # tokenizer
 
 
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+
+
 class PieceEncoder:
     """``tokenizers`` encodings of whole texts, as little-endian uint32 bytes.
 
-    The vocabulary's pre-tokenizer never lets a token cross from a non-space
-    into white space, over a line feed between non-spaces, or from a letter to
-    a punctuation mark. So a text may be cut before each single space that a
-    non-space follows, and such a piece at line feeds and before a last mark;
-    the parts repeat, and each is encoded once and kept. ``limit`` bounds what
-    is kept (the first, hence most frequent, stay).
+    Texts are cut where the vocabulary's pre-tokenizer cuts too, whatever
+    follows: around words of Latin letters, around punctuation marks, and in
+    white space. What is between such cuts repeats; each part is encoded once
+    and kept. ``limit`` bounds the kept parts (the first, hence most frequent,
+    stay).
     """
 
-    CUT = re.compile(r"(?<=\S) (?=\S)")
-    MARKS = frozenset(".,;:!?")
+    PARTS = re.compile(rf" ?[{LATIN}]++(?![^\W_])| ?[.,;:!?]++(?=\s|\Z|[{LATIN}])|\s+(?!\S)| ?\S+|\s+")
+    #: White space to Python, but not to the pre-tokenizer; and what it takes out
+    #: of a text before it cuts, so that white space ends there.
+    ODD = re.compile(r"[\x1c-\x1f]|<\|endoftext")
 
     def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -88,7 +92,6 @@ class PieceEncoder:
         self.lengths = np.array([size.get(i, 0) for i in range(max(size) + 1)], np.int64)
         self.limit = limit
         self.parts: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes | None] = {}
 
     def _one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -111,72 +114,41 @@ class PieceEncoder:
             out.extend([raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)])
         return out
 
-    def _parts_of(self, piece: str) -> list[str]:
-        if "\n" not in piece:
-            return [piece[:-1], piece[-1]] if piece[-1] in self.MARKS and len(piece) > 2 and piece[-2].isalpha() else [piece]
-        lines = piece.split("\n")
-        if not all(lines) or any(x[0].isspace() for x in lines[1:]) or any(x[-1].isspace() for x in lines[:-1]):
-            return [piece]
-        out = self._parts_of(lines[0])
-        for line in lines[1:]:
-            out.append("\n")
-            out += self._parts_of(line)
-        return out
-
-    def _resolve(self, pieces: list[str]) -> dict[str, bytes]:
-        cut = {p: self._parts_of(p) for p in pieces}
-        new = {x for parts in cut.values() for x in parts} - self.parts.keys()
-        spaced, bare = [], []
+    def _resolve(self, new: list[str]) -> dict[str, bytes]:
+        spaced, bare, rest = [], [], []
         for x in new:
-            core = x.split()
-            if len(core) == 1 and "<|" not in x:
-                if len(core[0]) == len(x):
-                    bare.append(x)
-                elif x[0] == " " and len(core[0]) + 1 == len(x):
-                    spaced.append(x)
+            core = x[1:] if x[0] == " " else x
+            if not core.isalpha():
+                rest.append(x)
+            elif core is x:
+                bare.append(x)
+            else:
+                spaced.append(x)
         got = dict(zip(spaced, self._many(spaced, ""), strict=True))
         got.update(zip(bare, self._many(bare, "\n"), strict=True))
-        got.update((x, self._one(x)) for x in new - got.keys())
-        known = self.parts
-        if len(known) + len(got) <= self.limit:
-            known.update(got)
-        else:
-            known.update((x, got[x]) for x in list(got)[: max(0, self.limit - len(known))] if len(x) <= 24)
-        look = lambda x: known[x] if x in known else got[x]
-        return {p: b"".join(map(look, parts)) for p, parts in cut.items()}
+        got.update((x, self._one(x)) for x in rest)
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        split = [t.split(" ") for t in texts]
-        need: set[str] = set()
-        for s in split:
-            need.update(s[1:])
-        known = self.pieces
-        new = [p for p in need if p not in known]
-        # A piece that is empty or starts with white space follows a run of
-        # white space: its text is cut by the slower, exact pattern instead.
-        odd = {p for p in new if not p or p[0].isspace()}
-        got: dict[str, bytes | None] = {}
-        heads = [s[0] for s in split if s[0]]
-        found = self._resolve([" " + p for p in new if p not in odd] + heads)
-        for p in new:
-            got[p] = None if p in odd else found[" " + p]
-        if len(known) + len(got) <= self.limit:
-            known.update(got)
-            look = known.__getitem__
-        else:
-            room = max(0, self.limit - len(known))
-            known.update((p, got[p]) for p in list(got)[:room] if len(p) <= 24)
-            both = got | {p: known[p] for p in need if p in known}
-            look = both.__getitem__
+        known = self.parts
+        cut = [None if self.ODD.search(t) else self.PARTS.findall(t) for t in texts]
+        found = [None if p is None else list(map(known.get, p)) for p in cut]
+        new = {x for p, f in zip(cut, found, strict=True) if f is not None and None in f for x, y in zip(p, f, strict=True) if y is None}
+        got = self._resolve(list(new))
         out = []
-        for text, part in zip(texts, split, strict=True):
-            values = list(map(look, part[1:]))
-            if None in values:
-                cut = self.CUT.split(text)
-                out.append(b"".join([self._one(cut[0]), *(self._one(" " + p) if any(map(str.isspace, p)) else self._resolve([" " + p])[" " + p] for p in cut[1:])]))
+        for text, p, f in zip(texts, cut, found, strict=True):
+            if f is None:
+                out.append(self._one(text))
+            elif None in f:
+                out.append(b"".join([got[x] if y is None else y for x, y in zip(p, f, strict=True)]))
             else:
-                out.append(b"".join([found[part[0]] if part[0] else b"", *values]))
+                out.append(b"".join(f))
+        room = self.limit - len(known)
+        if room >= len(got):
+            known.update(got)
+        elif room > 0:
+            known.update([(x, y) for x, y in got.items() if len(x) <= 24][:room])
         return out
 
 
