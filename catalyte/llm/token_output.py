@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoder, ensure_checkpoint_dir, slices, texts_of
+from .common import encoder, ensure_checkpoint_dir, lowest_by_hash, slices, texts_of
 
 MAGIC = b"CTB1"
 NULL_ID = -(1 << 63)
@@ -100,7 +100,8 @@ def write_token_blocks(
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     width = 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-    some = rows.where(F.length("text") <= sample_chars).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()
+    ids = lowest_by_hash(rows.select("doc_id"), "doc_id", sample_docs).distinct()
+    some = rows.join(F.broadcast(ids), "doc_id").where(F.length("text") <= sample_chars).orderBy("doc_id", "text").limit(sample_docs).collect()
     dictionary = train_dictionary([serialize(x, width) for x in encoder(tokenizer_path).encode([r["text"] for r in some])])
     sha = hashlib.sha256(dictionary).digest()
     spark.createDataFrame([(bytearray(dictionary), sha.hex())], "dictionary binary, sha256 string").coalesce(1).write.parquet(f"{path}/dictionary")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, texts_of
+from .common import lowest_by_hash, mix, slices, texts_of
 
 WORD = re.compile(r"\w+")
 NGRAMS = (3, 4, 5)
@@ -185,7 +185,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, per_class: int = 2000, lo
     text counts once."""
     own = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     one = own.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").select("doc_id", "toxic")
-    few = [one.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+    few = [lowest_by_hash(one.where(F.col("toxic") == c), "doc_id", per_class) for c in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     # at most twice per_class ids
     rows = texts.join(F.broadcast(few[0].union(few[1])), "doc_id").where(F.length("text").between(1, longest)).collect()

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, lowest_by_hash
 
 #: (rule, verdict); a rule is a host and the path its URLs start with.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -149,7 +149,8 @@ class BoostedTrees:
 def train(labelled: DataFrame, rows: int = 20_000) -> tuple[SuffixStatistics, BoostedTrees]:
     """Fits suffix statistics and trees on at most ``rows`` labelled URLs (url,
     label: 1 to block), those of the lowest hash."""
-    some = labelled.select("url", F.col("label").cast("int")).where("url IS NOT NULL AND label IS NOT NULL").orderBy(F.xxhash64("url"), "url", "label").limit(rows).collect()
+    usable = labelled.select("url", F.col("label").cast("int")).where("url IS NOT NULL AND label IS NOT NULL")
+    some = lowest_by_hash(usable, "url", rows, "label").collect()
     urls, labels = [r["url"] for r in some], np.array([r["label"] for r in some], np.float64)
     # Statistics come from one half and trees from the other, so that the trees
     # see statistics of URLs that did not make them.
