@@ -86,7 +86,9 @@ def repeated_windows(keyed: DataFrame, firsts: DataFrame, min_words: int, seed_w
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.concatenate(keys))], names=["head", "k1"])
 
     kept = durable(keyed.select("k1", "text").mapInArrow(suffixes, "head long, k1 long"))
-    shared = kept.groupBy("head").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("head")
+    # Written first, so that the join has a shuffle of its own on either side and
+    # Spark can split a hot passage.
+    shared = durable(kept.groupBy("head").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("head"))
     hits = kept.join(shared, "head").groupBy("k1").agg(F.collect_set("head").alias("heads"))
     hits = hits.join(firsts, "k1").select(F.col("rep").alias("doc_id"), "heads")
 
@@ -113,7 +115,7 @@ def repeated_windows(keyed: DataFrame, firsts: DataFrame, min_words: int, seed_w
                     )
 
     stretches = durable(keyed.select("doc_id", "text").join(hits, "doc_id").mapInArrow(extend, "h long, doc_id long, start long"))
-    groups = stretches.groupBy("h").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last")
+    groups = durable(stretches.groupBy("h").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last"))
     return stretches.join(groups, "h").select("doc_id", "start", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
 
 
