@@ -168,13 +168,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, chunk:
 
 
 # --------------------------------------------------------------------------
-# by similarity: long fingerprints
+# long fingerprints: an estimate of the similarity, which no stage decides by
 
 #: Bits of a long fingerprint, blocks, and bits of a block. Shingle sets of
 #: Jaccard similarity 0.8 have a cosine of 0.89, so a bit differs with a chance
 #: of 0.15 and a block agrees with one of 0.07: such a pair shares one of 56
-#: blocks in 98 of 100 cases, a closer one almost surely. Far more documents
-#: call for wider blocks, and more of them.
+#: blocks in 98 of 100 cases, a closer one almost surely.
 LONG, BLOCKS, WIDTH = 256, 56, 16
 _POSITIONS = np.random.default_rng(20).permuted(np.tile(np.arange(LONG), (BLOCKS, 1)), axis=1)[:, :WIDTH]
 
@@ -203,102 +202,247 @@ def long_fingerprint(text: str, shingle: int = 5) -> bytes:
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
-def _spread_blocks(whole_rows: bool):
-    """(block, id, bits) or (block) for each block of each fingerprint."""
+# --------------------------------------------------------------------------
+# by similarity: exact Jaccard of shingle sets
+#
+# Of two sets of similarity t or more, the smaller shares t of the larger, so in
+# any one order of all shingles their first n - ceil(t n) + 1 ("prefix") have one
+# in common: sets meet on prefix shingles, and no pair is lost, whatever the
+# order. Rare shingles first makes few meet that are not similar.
+
+#: Bits of the parity sketch that goes where shingles meet, and of the one that
+#: pairs are tried with before their whole sets are fetched.
+PARITY, WIDE = 256, 2048
+#: Frequent shingles that are put last in the order, and shingles that a task
+#: counts at a time to find them. Both only bear on the work, not on the result.
+COMMON, RUN = 100_000, 1 << 20
+
+
+def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text; a text of fewer words is
+    one shingle."""
+    words = word_hashes(text.lower())
+    return np.unique(window_hashes(words, min(shingle, len(words)))) if len(words) else np.zeros(0, np.uint64)
+
+
+def parity(hashes: np.ndarray, bits: int = PARITY) -> np.ndarray:
+    """For each of ``bits`` buckets, whether it has an odd number of hashes. Two
+    sets differ in at least as many elements as their sketches do in bits."""
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The shingles of a sorted set that a similar set must share one of. ``common``
+    is sorted; ``place``, from 1 up, puts its members behind all others."""
+    rank = np.zeros(len(hashes), np.int64)
+    if len(common) and len(hashes):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rank = np.where(common[at] == hashes, place[at], 0)
+    count = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1
+    return hashes[np.argsort(rank, kind="stable")[:count]]
+
+
+def _common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of at most ``COMMON`` frequent shingles and their places, the
+    most frequent last."""
 
     def work(batches):
-        weights = 1 << np.arange(WIDTH, dtype=np.int64)
+        def counted(held):
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n > 2].view(np.int64)), pa.array(n[n > 2])], names=["h", "n"])
+
+        held, size = [], 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                bits = np.unpackbits(np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(-1, LONG // 8), axis=1)
-                keys = pa.array((bits[:, _POSITIONS].astype(np.int64) @ weights | np.arange(BLOCKS) << WIDTH).reshape(-1))
-                if whole_rows:
-                    take = pa.array(np.repeat(np.arange(batch.num_rows), BLOCKS))
-                    yield pa.RecordBatch.from_arrays([keys, batch.column("id").take(take), batch.column("bits").take(take)], names=["block", "id", "bits"])
-                else:
-                    yield pa.RecordBatch.from_arrays([keys], names=["block"])
+            for batch in slices(whole, "text"):
+                for t in texts_of(batch.column("text")):
+                    held.append(shingle_set(t, shingle))
+                    size += len(held[-1])
+                    if size >= RUN:
+                        yield counted(held)
+                        held, size = [], 0
+        if held:
+            yield counted(held)
+
+    found = rows.select("text").mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    hashes = found.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow().column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], len(hashes) - order
+
+
+def _signatures(shingle: int, similarity: float, common: np.ndarray, place: np.ndarray):
+    def work(batches):
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets = [shingle_set(t, shingle) for t in texts_of(batch.column("text"))]
+                nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                firsts = [prefix(s, similarity, common, place).view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id"),
+                        pa.array(nodes),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([parity(s).tobytes() for s in sets], pa.binary()),
+                        pa.array([parity(s, WIDE) for s in sets], pa.list_(pa.int64())),
+                        pa.array(firsts, pa.list_(pa.int64())),
+                    ],
+                    names=["doc_id", "node", "n", "sketch", "wide", "prefix"],
+                )
+
+    return work
+
+
+def _sets(shingle: int):
+    def work(batches):
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets = [shingle_set(t, shingle) for t in texts_of(batch.column("text"))]
+                nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return work
 
 
-def _long_links(most: int):
-    def links(ids: np.ndarray, bits: np.ndarray):
-        pool = np.arange(len(ids))
+def _shared(batches):
+    """Rows come sorted by token; those alone with theirs go."""
+    last, twice = None, False  # the last row, and whether one before it has its token
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tokens, nodes = batch.column("token").to_numpy(), batch.column("node").to_numpy()
+        if last is not None:
+            tokens, nodes = np.append(last[0], tokens), np.append(last[1], nodes)
+        same = np.concatenate([[twice], tokens[1:] == tokens[:-1]])
+        keep = same[:-1] | same[1:]
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[:-1][keep]), pa.array(nodes[:-1][keep])], names=["token", "node"])
+        last, twice = (tokens[-1:], nodes[-1:]), bool(same[-1])
+    if twice:
+        yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1])], names=["token", "node"])
+
+
+def _meet(similarity: float, every: bool):
+    """Pairs of one (token, lo, hi) that sizes and sketches do not rule out: a
+    spanning forest of them, or every pair of different components."""
+    share = (1 - similarity) / (1 + similarity)
+
+    def pairs(node, n, root, bits):
+        def near(at, pool):
+            fits = np.minimum(n[pool], n[at]) >= similarity * np.maximum(n[pool], n[at]) - 1e-9
+            return fits & (np.bitwise_count(bits[pool] ^ bits[at]).sum(axis=1, dtype=np.int64) <= share * (n[pool] + n[at]) + 1e-9)
+
+        pool = np.arange(len(node))
+        if every:
+            if (root == root[0]).all():
+                return
+            for at in pool[:-1]:
+                rest = pool[at + 1 :][root[at + 1 :] != root[at]]
+                hits = rest[near(at, rest)]
+                if len(hits):
+                    yield np.full(len(hits), node[at]), node[hits]
+            return
         while len(pool) > 1:
             todo, pool = [pool[0]], pool[1:]
             while todo and len(pool):
                 at = todo.pop()
-                near = np.bitwise_count(bits[pool] ^ bits[at]).sum(axis=1, dtype=np.int64) <= most
-                if near.any():
-                    hits = pool[near]
-                    yield np.full(len(hits), ids[at]), ids[hits]
-                    todo.extend(hits)
-                    pool = pool[~near]
+                met = near(at, pool)
+                if met.any():
+                    yield np.full(int(met.sum()), node[at]), node[pool[met]]
+                    todo.extend(pool[met])
+                    pool = pool[~met]
 
     def work(batches):
         rest = None
 
-        def emit(keys, ids, bits):
+        def emit(keys, *columns):
             cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(ids)]])
-            pair = begin[end - begin == 2]
-            near = pair[np.bitwise_count(bits[pair] ^ bits[pair + 1]).sum(axis=1, dtype=np.int64) <= most]
-            a, b = [ids[near]], [ids[near + 1]]
-            for i, j in zip(begin[end - begin > 2], end[end - begin > 2], strict=True):
-                for x, y in links(ids[i:j], bits[i:j]):
+            a, b, size = [], [], 0
+            for i, j in zip(np.append(0, cut), np.append(cut, len(keys)), strict=True):
+                for x, y in pairs(*(c[i:j] for c in columns)):
                     a.append(x)
                     b.append(y)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                    size += len(x)
+                    if size >= RUN:
+                        yield batch_of(a, b)
+                        a, b, size = [], [], 0
+            if a:
+                yield batch_of(a, b)
+
+        def batch_of(a, b):
+            a, b = np.concatenate(a), np.concatenate(b)
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(c).to_numpy() for c in ("block", "lo", "hi")], axis=1)
-            ids = batch.column("id").to_numpy()
-            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, LONG // 64)
+            keys = np.stack([batch.column(c).to_numpy() for c in ("token", "lo", "hi")], axis=1)
+            bits = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, PARITY // 64)
+            now = keys, *(batch.column(c).to_numpy() for c in ("node", "n", "root")), bits
             if rest is not None:
-                keys, ids, bits = (np.concatenate(x) for x in zip(rest, (keys, ids, bits), strict=True))
-            last = len(ids) - int(np.argmax((keys[::-1] != keys[-1]).any(axis=1))) if (keys != keys[-1]).any() else 0
-            rest = keys[last:], ids[last:], bits[last:]
+                now = tuple(np.concatenate(x) for x in zip(rest, now, strict=True))
+            keys = now[0]
+            last = len(keys) - int(np.argmax((keys[::-1] != keys[-1]).any(axis=1))) if (keys != keys[-1]).any() else 0
+            rest = tuple(x[last:] for x in now)
             if last:
-                yield emit(keys[:last], ids[:last], bits[:last])
+                yield from emit(*(x[:last] for x in now))
         if rest is not None:
-            yield emit(*rest)
+            yield from emit(*rest)
 
     return work
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, chunk: int = 4096) -> DataFrame:
     """(doc_id, component_id) of every row with a doc_id: components of documents
-    whose sets of ``shingle``-word shingles have about ``similarity`` or more in
-    common. Four differing bits of 64 would only find pairs from 0.97 on, so
-    fingerprints are longer here, blocks are many samples of their bits, and the
-    Hamming distance that is verified stands for the similarity."""
-
-    def work(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                bits = [long_fingerprint(t, shingle) for t in texts_of(batch.column("text"))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits, pa.binary())], names=["doc_id", "bits"])
-
+    whose sets of ``shingle``-word shingles have a Jaccard similarity of
+    ``similarity`` or more. Every such pair is a link or within a component, and
+    each link is verified on the whole sets.
+
+    Equal sets are collapsed first. Pairs are verified in two rounds: a spanning
+    forest of what meets on a shingle, so that a large group of copies does not
+    cost its pairs; then all that meets and is not in one component yet. Tokens
+    of more than ``chunk`` members are dealt out as pairs of chunks.
+    """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
-    fps = durable(rows.mapInArrow(work, "doc_id long, bits binary"))
-    own = durable(fps.groupBy("bits").agg(F.min("doc_id").alias("id")).select("id", "bits"))
-    keyed = own.mapInArrow(_spread_blocks(True), "block long, id long, bits binary").select("block", "id", "bits")
-    hot = own.select("bits").mapInArrow(_spread_blocks(False), "block long").groupBy("block").count().where(F.col("count") > chunk)
-    hot = durable(hot.select("block", F.ceil(F.col("count") / chunk).cast("int").alias("n")))
-    n = F.coalesce("n", F.lit(1))
-    dealt = (
-        keyed.join(hot, "block", "left")
-        .withColumn("mine", F.pmod(F.xxhash64("id"), n.cast("long")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-        .select("block", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "id", "bits")
+    signed = rows.mapInArrow(_signatures(shingle, similarity, *_common_shingles(rows, shingle)), "doc_id long, node long, n long, sketch binary, wide array<long>, prefix array<long>")
+    fps = durable(signed)
+    own = durable(fps.groupBy("node").agg(F.min_by(F.struct("doc_id", "n", "sketch", "wide", "prefix"), "doc_id").alias("s")).select("node", "s.*"))
+    keyed = own.select("node", F.explode("prefix").alias("token")).select("token", "node")
+    met = durable(keyed.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "token long, node long"))
+    hot = met.groupBy("token").count().where(F.col("count") > chunk).select("token", F.ceil(F.col("count") / chunk).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = durable(
+        met.join(hot, "token", "left")
+        .withColumn("mine", F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node")
     )
-    spread = dealt.repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi")
-    roots = connected_components(spread.mapInArrow(_long_links(allowed_bits(similarity)), "a long, b long").distinct())
-    classes = own.join(roots.withColumnRenamed("node", "id"), "id", "left").select("bits", F.coalesce("root", "id").alias("component_id"))
-    return fps.join(classes, "bits").select("doc_id", "component_id")
+    members = durable(own.select("node", "doc_id", "n", "sketch", "wide").join(met.select("node").distinct(), "node", "left_semi"))
+    share = (1 - similarity) / (1 + similarity)
+
+    def both(pairs: DataFrame, sides: DataFrame) -> DataFrame:
+        for x in "ab":
+            pairs = pairs.join(sides.select(*(F.col(c).alias(x if c == "node" else f"{x}_{c}") for c in sides.columns)), x)
+        return pairs
+
+    def verified(rooted: DataFrame, every: bool) -> DataFrame:
+        spread = dealt.join(rooted.select("node", "n", "root", "sketch"), "node").repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+        pairs = spread.mapInArrow(_meet(similarity, every), "a long, b long").distinct()
+        off = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        pairs = durable(both(pairs, members.select("node", "n", "wide")).where(off <= share * (F.col("a_n") + F.col("b_n")) + 1e-9).select("a", "b"))
+        wanted = members.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("doc_id").distinct()
+        sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, shingles array<long>").dropDuplicates(["node"])
+        common, total = F.size(F.array_intersect("a_shingles", "b_shingles")), F.size("a_shingles") + F.size("b_shingles")
+        return durable(both(pairs, durable(sets)).where(common / (total - common) >= similarity).select("a", "b"))
+
+    links = verified(members.withColumn("root", F.col("node")), False)
+    roots = connected_components(links)
+    rooted = durable(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    more = verified(rooted, True)
+    if more.head(1):
+        roots = connected_components(links.union(more))
+    classes = own.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    least = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return fps.select("doc_id", "node").join(classes.select("node", "root").join(least, "root"), "node").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
