@@ -7,6 +7,8 @@ and full containment is verified on the arrays.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,15 @@ from ..functions import text as T
 MAX_STORED, MIN_SHARE = 25, 0.5
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage, in the folder that ``spark.checkpoint.dir``
+    names or else a temporary one."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="catalyte-ckpt-"))
+    return df.checkpoint()
+
+
 def postings(entries: DataFrame, key: str, words: str) -> DataFrame:
     """The inverted index (token, key)."""
     return entries.select(F.explode(F.array_distinct(words)).alias("token"), F.col(key))
@@ -185,22 +196,30 @@ def title_overlaps(concepts: DataFrame, rows: DataFrame, title: str, words: str)
     return titles.join(other, "t").where("token <> host").groupBy("token", "host").agg(F.count("*").alias("shared"))
 
 
-def collapse_synonyms(concepts: DataFrame, overlaps: DataFrame, share: float = 0.9, limit: int = 5_000) -> DataFrame:
+def collapse_synonyms(concepts: DataFrame, overlaps: DataFrame, share: float = 0.9) -> DataFrame:
     """(token, also): in order of titles, series and word, a concept joins the
-    first kept one that holds ``share`` of its titles. The driver walks the
-    ranked list, of checked length; overlaps come from Spark."""
-    ranked = concepts.orderBy(F.desc("titles"), F.desc("series"), "token").limit(limit + 1).select("token", "titles").collect()
-    if len(ranked) > limit:
-        raise ValueError(f"over {limit} concepts")
-    strong = overlaps.join(concepts.select("token", "titles"), "token").where(F.col("shared") >= share * F.col("titles"))
-    near: dict[str, set[str]] = {}
-    for r in strong.select("token", "host").collect():
-        near.setdefault(r["token"], set()).add(r["host"])
-    kept: dict[str, list[str]] = {}
-    for r in ranked:
-        host = next((k for k in kept if k in near.get(r["token"], ())), None)
-        if host is None:
-            kept[r["token"]] = []
-        else:
-            kept[host].append(r["token"])
-    return concepts.sparkSession.createDataFrame([(k, ",".join(v)) for k, v in kept.items()], "token string, also string")
+    first kept one that holds ``share`` of its titles.
+
+    Only concepts before it can be a concept's host. Each round settles those
+    whose hosts before the first kept one are all settled, the first open one
+    among them, so that the rounds end with the walk's result."""
+    facts = concepts.select("token", "titles", "series")
+    place = F.struct((-F.col("titles")).alias("t"), (-F.col("series")).alias("s"), F.col("token").alias("token"))
+    places = facts.select("token", place.alias("place"))
+    strong = overlaps.join(facts, "token").where(F.col("shared") >= share * F.col("titles")).select("token", "host")
+    near = strong.join(places, "token").join(places.select(F.col("token").alias("host"), F.col("place").alias("at")), "host").where("at < place")
+    near = durable(near.select("token", "host", "at"))
+    state = durable(places.select("token", "place", F.lit(None).cast("string").alias("joins")).withColumn("done", F.lit(False)))
+    while state.where("NOT done").head(1):
+        hosts = near.join(state.select(F.col("token").alias("host"), "done", F.col("joins").isNull().alias("stays")), "host")
+        found = hosts.groupBy("token").agg(
+            F.min(F.when(F.col("done") & F.col("stays"), F.col("at"))).alias("kept"),
+            F.min(F.when(~F.col("done"), F.col("at"))).alias("open"),
+        )
+        ready = F.col("open").isNull() | F.coalesce(F.col("kept") < F.col("open"), F.lit(False))
+        state = durable(
+            state.join(found, "token", "left").select("token", "place", F.coalesce("joins", F.when(ready, F.col("kept.token"))).alias("joins"), (F.col("done") | ready).alias("done"))
+        )
+    also = state.where("joins IS NOT NULL").groupBy(F.col("joins").alias("token")).agg(F.array_sort(F.collect_list("place")).alias("places"))
+    kept = state.where("joins IS NULL").select("token").join(also, "token", "left")
+    return kept.select("token", F.coalesce(F.array_join(F.transform("places", lambda p: p["token"]), ","), F.lit("")).alias("also"))

@@ -105,6 +105,26 @@ def test_synonyms_join_the_first_host(spark):
     assert {(r["token"], r["also"]) for r in L.collapse_synonyms(concepts, overlaps).collect()} == {("a", "b"), ("c", "")}
 
 
+def test_collapse_synonyms_is_the_ranked_walk_without_a_limit(spark):
+    rng = random.Random(3)
+    ranked = [(f"w{k:05}", 6000 - k // 3, 7000 - k // 2) for k in range(5_200)]
+    near = {(a, b) for _ in range(9_000) for a, b in [rng.sample(range(60) if rng.random() < 0.2 else range(5_200), 2)]}
+    order = sorted(ranked, key=lambda r: (-r[1], -r[2], r[0]))
+    kept: dict[str, list[str]] = {}
+    hosts: dict[str, set[str]] = {}
+    for a, b in near:
+        hosts.setdefault(ranked[a][0], set()).add(ranked[b][0])
+    for token, _, _ in order:
+        host = next((k for k in kept if k in hosts.get(token, ())), None)
+        if host is None:
+            kept[token] = []
+        else:
+            kept[host].append(token)
+    concepts = spark.createDataFrame(ranked, "token string, titles long, series long")
+    overlaps = spark.createDataFrame([(ranked[a][0], ranked[b][0], ranked[a][1]) for a, b in near], "token string, host string, shared long")
+    assert {r["token"]: r["also"] for r in L.collapse_synonyms(concepts, overlaps).collect()} == {k: ",".join(v) for k, v in kept.items()}
+
+
 # ---------------------------------------------------------------- keyed
 
 
