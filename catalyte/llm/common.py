@@ -53,6 +53,15 @@ def lowest_by_hash(df: DataFrame, key: str, n: int, *ties: str) -> DataFrame:
     return df.orderBy(F.xxhash64(key), key, *ties).limit(n)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores added until no column is called that (Spark
+    does not tell upper and lower case apart)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
