@@ -1,14 +1,21 @@
 """SimHash near-duplicate detection (pigeonhole blocks).
 
-A fingerprint has 64 bits, cut into six pieces. Fingerprints that differ in at
-most four bits agree on at least two pieces, so they share one of the fifteen
-(piece, piece) blocks; rows are joined on blocks and the Hamming distance of
-what meets there is verified.
-
-Scale: equal fingerprints are collapsed first, so a large group of copies costs
-one row. A block's members are compared in numpy without emitting the pairs:
-only a spanning forest of the links leaves a block. A block of more than
-``chunk`` members is dealt out as pairs of chunks, each its own unit of work.
+``near_duplicates`` links fingerprints of 64 bits that differ in few bits. They
+are cut into pieces, ``distance`` + 2 of them or more: fingerprints that differ
+in at most ``distance`` bits agree on the other pieces, so they share a block of
+that many pieces; rows are joined on blocks and the Hamming distance of what
+meets there is verified. With six pieces and four bits there are fifteen blocks
+of two pieces; more distinct fingerprints take more pieces and wider blocks.
+
+``similar_documents`` links texts by the similarity of their shingle sets, which
+fingerprints estimate: long ones, cut into blocks of sampled bits, whose number
+follows from the share of similar pairs that may be missed. What meets in a block
+and is near by Hamming distance is verified on the whole sets.
+
+Scale: equal fingerprints (or sets) are collapsed first, so a large group of
+copies costs one row. A block's members are compared in numpy without emitting
+the pairs: a spanning forest of the links leaves a large block. A block of more
+than ``chunk`` members is dealt out as pairs of chunks, each its own unit of work.
 """
 
 from __future__ import annotations
@@ -18,13 +25,23 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable, mix, slices, texts_of, window_hashes, word_hashes
+from .common import connected_components, durable, free_name, mix, slices, texts_of, window_hashes, word_hashes
 
-#: Lowest bit and width of each piece.
-PIECES = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Members that a block of fingerprints of random bits may have on average.
+MEMBERS = 1024
+
+
+def pieces(rows: int, distance: int = 4) -> list[tuple[int, int]]:
+    """Lowest bit and width of each piece, so many that blocks of all pieces but
+    ``distance`` hold ``MEMBERS`` of ``rows`` random fingerprints at most."""
+    many = distance + 2
+    while many < 16 and rows > MEMBERS << (64 * (many - distance) // many):
+        many += 1
+    edges = [64 * k // many for k in range(many + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
@@ -120,19 +137,17 @@ def _links(distance: int):
 
 def fingerprint_links(fps: DataFrame, distance: int = 4, chunk: int = 4096) -> DataFrame:
     """(a, b): links that span every component of the distinct fingerprints in
-    column fp, two of which are linked at ``distance`` (at most 4) or fewer
-    differing bits."""
-    if not 0 <= distance <= 4:
-        raise ValueError("six pieces hold for up to four differing bits")
-
-    def piece(i: int):
-        low, width = PIECES[i]
-        return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-
-    blocks = [
-        F.lit(k << 22).cast("long").bitwiseOR(F.shiftleft(piece(i), 11)).bitwiseOR(piece(j))
-        for k, (i, j) in enumerate(itertools.combinations(range(len(PIECES)), 2))
-    ]
+    column fp, two of which are linked at ``distance`` or fewer differing bits.
+    ``fps`` is read three times: it should be a written or checkpointed table."""
+    cut = pieces(fps.count(), distance)
+
+    def block(k: int, some: tuple[int, ...]):
+        key = F.lit(k).cast("long")
+        for low, width in (cut[i] for i in some):
+            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
+        return key
+
+    blocks = [block(k, some) for k, some in enumerate(itertools.combinations(range(len(cut)), len(cut) - distance))]
     keyed = fps.select("fp", F.explode(F.array(*blocks)).alias("block"))
     hot = keyed.groupBy("block").count().where(F.col("count") > chunk)
     hot = hot.select("block", F.ceil(F.col("count") / chunk).cast("int").alias("n"))
@@ -168,54 +183,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, chunk:
 
 
 # --------------------------------------------------------------------------
-# long fingerprints: an estimate of the similarity, which no stage decides by
-
-#: Bits of a long fingerprint, blocks, and bits of a block. Shingle sets of
-#: Jaccard similarity 0.8 have a cosine of 0.89, so a bit differs with a chance
-#: of 0.15 and a block agrees with one of 0.07: such a pair shares one of 56
-#: blocks in 98 of 100 cases, a closer one almost surely.
-LONG, BLOCKS, WIDTH = 256, 56, 16
-_POSITIONS = np.random.default_rng(20).permuted(np.tile(np.arange(LONG), (BLOCKS, 1)), axis=1)[:, :WIDTH]
-
-
-def allowed_bits(similarity: float) -> int:
-    """Differing bits that shingle sets of this similarity are expected to have
-    at most: the mean and two standard deviations."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(np.floor(LONG * p + 2 * np.sqrt(LONG * p * (1 - p))))
-
-
-def long_fingerprint(text: str, shingle: int = 5) -> bytes:
-    """A fingerprint of ``LONG`` bits over the distinct shingles of a text; all
-    zero without words."""
-    hashes = window_hashes(word_hashes(text.lower()), shingle)
-    if not len(hashes):
-        words = word_hashes(text.lower())
-        if not len(words):
-            return bytes(LONG // 8)
-        hashes = window_hashes(words, len(words))
-    hashes = np.unique(hashes)
-    ones = np.zeros(LONG, np.int64)
-    for at in range(0, len(hashes), 1 << 13):
-        part = np.stack([mix(hashes[at : at + (1 << 13)] + np.uint64(k)) for k in range(LONG // 64)], axis=1)
-        ones += np.unpackbits(np.ascontiguousarray(part).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes)).tobytes()
+# by similarity: long fingerprints find what meets, whole shingle sets decide
 
+#: Bits of a long fingerprint; how many of them travel with a block's members.
+LONG, CARRIED = 512, 128
+#: Share of the pairs of just the similarity asked for that may share no block.
+MISSED = 0.001
+#: Members up to which all near pairs of a block are emitted.
+FEW = 24
 
-# --------------------------------------------------------------------------
-# by similarity: exact Jaccard of shingle sets
-#
-# Of two sets of similarity t or more, the smaller shares t of the larger, so in
-# any one order of all shingles their first n - ceil(t n) + 1 ("prefix") have one
-# in common: sets meet on prefix shingles, and no pair is lost, whatever the
-# order. Rare shingles first makes few meet that are not similar.
 
-#: Bits of the parity sketch that goes where shingles meet, and of the one that
-#: pairs are tried with before their whole sets are fetched.
-PARITY, WIDE = 256, 2048
-#: Frequent shingles that are put last in the order, and shingles that a task
-#: counts at a time to find them. Both only bear on the work, not on the result.
-COMMON, RUN = 100_000, 1 << 20
+def agreement(similarity: float) -> float:
+    """Chance that a bit of two fingerprints agrees, of sets of equal size and
+    this Jaccard similarity: their vectors have a cosine of 2s / (1 + s)."""
+    return 1 - float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def sampled_blocks(rows: int, similarity: float) -> np.ndarray:
+    """Bit positions of each block, one block a row. The width follows from the
+    number of rows, and the number of blocks from the width."""
+    width = max(16, int(np.ceil(np.log2(max(1, rows) / MEMBERS))))
+    many = int(np.ceil(np.log(MISSED) / np.log1p(-(agreement(similarity) ** width))))
+    return np.random.default_rng(20).permuted(np.tile(np.arange(LONG), (many, 1)), axis=1)[:, :width]
+
+
+def allowed_bits(similarity: float, bits: int = CARRIED) -> int:
+    """Differing bits of ``bits`` that sets of this similarity have at most: the
+    mean and three and a half standard deviations."""
+    p = 1 - agreement(similarity)
+    return int(np.floor(bits * p + 3.5 * np.sqrt(bits * p * (1 - p))))
 
 
 def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
@@ -225,69 +221,28 @@ def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
     return np.unique(window_hashes(words, min(shingle, len(words)))) if len(words) else np.zeros(0, np.uint64)
 
 
-def parity(hashes: np.ndarray, bits: int = PARITY) -> np.ndarray:
-    """For each of ``bits`` buckets, whether it has an odd number of hashes. Two
-    sets differ in at least as many elements as their sketches do in bits."""
-    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The shingles of a sorted set that a similar set must share one of. ``common``
-    is sorted; ``place``, from 1 up, puts its members behind all others."""
-    rank = np.zeros(len(hashes), np.int64)
-    if len(common) and len(hashes):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        rank = np.where(common[at] == hashes, place[at], 0)
-    count = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1
-    return hashes[np.argsort(rank, kind="stable")[:count]]
+def long_fingerprint(hashes: np.ndarray) -> bytes:
+    """The majority of each of ``LONG`` bits over a shingle set; all zero without
+    shingles."""
+    ones = np.zeros(LONG, np.int64)
+    for at in range(0, len(hashes), 255):  # so many ones at most in a byte
+        part = np.stack([mix(hashes[at : at + 255] + np.uint64(k)) for k in range(LONG // 64)], axis=1)
+        ones += np.unpackbits(part.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
-def _common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of at most ``COMMON`` frequent shingles and their places, the
-    most frequent last."""
+def _set_id(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes())
 
-    def work(batches):
-        def counted(held):
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h[n > 2].view(np.int64)), pa.array(n[n > 2])], names=["h", "n"])
 
-        held, size = [], 0
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                for t in texts_of(batch.column("text")):
-                    held.append(shingle_set(t, shingle))
-                    size += len(held[-1])
-                    if size >= RUN:
-                        yield counted(held)
-                        held, size = [], 0
-        if held:
-            yield counted(held)
-
-    found = rows.select("text").mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    hashes = found.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow().column("h").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], len(hashes) - order
-
-
-def _signatures(shingle: int, similarity: float, common: np.ndarray, place: np.ndarray):
+def _signatures(shingle: int):
     def work(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = [shingle_set(t, shingle) for t in texts_of(batch.column("text"))]
-                nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                firsts = [prefix(s, similarity, common, place).view(np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        pa.array(nodes),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([parity(s).tobytes() for s in sets], pa.binary()),
-                        pa.array([parity(s, WIDE) for s in sets], pa.list_(pa.int64())),
-                        pa.array(firsts, pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "node", "n", "sketch", "wide", "prefix"],
-                )
+                nodes = np.array([_set_id(s) for s in sets], np.uint64).view(np.int64)
+                prints = [long_fingerprint(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(nodes), pa.array(prints, pa.binary())], names=["doc_id", "key", "node", "print"])
 
     return work
 
@@ -297,158 +252,237 @@ def _sets(shingle: int):
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = [shingle_set(t, shingle) for t in texts_of(batch.column("text"))]
-                nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                nodes = np.array([_set_id(s) for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return work
 
 
-def _shared(batches):
-    """Rows come sorted by token; those alone with theirs go."""
-    last, twice = None, False  # the last row, and whether one before it has its token
+def _blocks(positions: np.ndarray):
+    """(block, node, x, y) for each row and block; x and y are the bits that
+    travel along."""
+    many, width = positions.shape
+    powers = 1 << np.arange(width, dtype=np.int64)
+    first = np.arange(many, dtype=np.int64) << width
+
+    def work(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                raw = np.frombuffer(b"".join(part.column("print").to_pylist()), np.uint8).reshape(-1, LONG // 8)
+                bits = np.unpackbits(raw, axis=1)
+                keys = np.empty((len(raw), many), np.int64)
+                for k in range(many):
+                    keys[:, k] = bits[:, positions[k]] @ powers + first[k]
+                carried = np.ascontiguousarray(raw[:, : CARRIED // 8]).view(np.int64)
+                columns = [np.repeat(c, many) for c in (part.column("node").to_numpy(), carried[:, 0], carried[:, 1])]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *map(pa.array, columns)], names=["block", "node", "x", "y"])
+
+    return work
+
+
+def _near_groups(batches, columns):
+    """Batches of whole groups of equal ``block``, in which rows come sorted."""
+    rest = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        tokens, nodes = batch.column("token").to_numpy(), batch.column("node").to_numpy()
-        if last is not None:
-            tokens, nodes = np.append(last[0], tokens), np.append(last[1], nodes)
-        same = np.concatenate([[twice], tokens[1:] == tokens[:-1]])
-        keep = same[:-1] | same[1:]
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[:-1][keep]), pa.array(nodes[:-1][keep])], names=["token", "node"])
-        last, twice = (tokens[-1:], nodes[-1:]), bool(same[-1])
-    if twice:
-        yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1])], names=["token", "node"])
-
-
-def _meet(similarity: float, every: bool):
-    """Pairs of one (token, lo, hi) that sizes and sketches do not rule out: a
-    spanning forest of them, or every pair of different components."""
-    share = (1 - similarity) / (1 + similarity)
-
-    def pairs(node, n, root, bits):
-        def near(at, pool):
-            fits = np.minimum(n[pool], n[at]) >= similarity * np.maximum(n[pool], n[at]) - 1e-9
-            return fits & (np.bitwise_count(bits[pool] ^ bits[at]).sum(axis=1, dtype=np.int64) <= share * (n[pool] + n[at]) + 1e-9)
-
-        pool = np.arange(len(node))
-        if every:
-            if (root == root[0]).all():
-                return
-            for at in pool[:-1]:
-                rest = pool[at + 1 :][root[at + 1 :] != root[at]]
-                hits = rest[near(at, rest)]
-                if len(hits):
-                    yield np.full(len(hits), node[at]), node[hits]
-            return
-        while len(pool) > 1:
-            todo, pool = [pool[0]], pool[1:]
-            while todo and len(pool):
-                at = todo.pop()
-                met = near(at, pool)
-                if met.any():
-                    yield np.full(int(met.sum()), node[at]), node[pool[met]]
-                    todo.extend(pool[met])
-                    pool = pool[~met]
+        now = [batch.column(c).to_numpy() for c in columns]
+        if rest is not None:
+            now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+        last = int(np.searchsorted(now[0], now[0][-1]))
+        rest = [x[last:] for x in now]
+        if last:
+            yield [x[:last] for x in now]
+    if rest is not None:
+        yield rest
+
+
+def _apart(bits: np.ndarray, a, b) -> np.ndarray:
+    return np.bitwise_count(bits[a] ^ bits[b]).sum(axis=-1, dtype=np.int64)
+
+
+def _pairs_of(a: list, b: list) -> pa.RecordBatch:
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64())], names=["a", "b", "dense"])
+
+
+def _meet(most: int):
+    """(a, b): near pairs of each block, all of them among few members, else a
+    spanning forest; (dense): blocks in which pairs were left out."""
 
     def work(batches):
-        rest = None
+        for block, node, x, y in _near_groups(batches, ("block", "node", "x", "y")):
+            bits = np.stack([x, y], axis=1).view(np.uint64)
+            a, b, dense = [], [], []
+            cut = np.flatnonzero(np.diff(block)) + 1
+            begin, end = np.append(0, cut), np.append(cut, len(block))
+            size = np.repeat(end - begin, end - begin)
+            for gap in range(1, FEW):  # few members: each with the one ``gap`` rows on
+                i = np.flatnonzero((block[:-gap] == block[gap:]) & (size[:-gap] <= FEW))
+                if not len(i):
+                    break
+                i = i[(_apart(bits, i, i + gap) <= most) & (node[i] != node[i + gap])]
+                a.append(node[i])
+                b.append(node[i + gap])
+            for i, j in zip(begin[end - begin > FEW].tolist(), end[end - begin > FEW].tolist(), strict=True):
+                pool, left_out = np.arange(i, j), False
+                while len(pool) > 1:
+                    todo, pool, members, links = [pool[0]], pool[1:], [pool[:1]], []
+                    while todo and len(pool):
+                        at = todo.pop()
+                        hit = _apart(bits, pool, at) <= most
+                        if hit.any():
+                            links.append((np.full(int(hit.sum()), node[at]), node[pool[hit]]))
+                            members.append(pool[hit])
+                            todo.extend(pool[hit].tolist())
+                            pool = pool[~hit]
+                    own = np.concatenate(members)
+                    if 2 < len(own) <= FEW:
+                        p, q = np.triu_indices(len(own), 1)
+                        near = _apart(bits, own[p], own[q]) <= most
+                        links = [(node[own[p[near]]], node[own[q[near]]])]
+                    left_out |= len(own) > FEW
+                    a += [u for u, _ in links]
+                    b += [v for _, v in links]
+                if left_out:
+                    dense.append(block[i])
+            yield _pairs_of(a, b)
+            if dense:
+                none = pa.nulls(len(dense), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(np.array(dense, np.int64))], names=["a", "b", "dense"])
 
-        def emit(keys, *columns):
-            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+    return work
+
+
+def _meet_apart(most: int):
+    """(a, b): every near pair of a block whose members have different roots."""
+
+    def work(batches):
+        for block, node, x, y, root in _near_groups(batches, ("block", "node", "x", "y", "root")):
+            bits = np.stack([x, y], axis=1).view(np.uint64)
+            cut = np.flatnonzero(np.diff(block)) + 1
             a, b, size = [], [], 0
-            for i, j in zip(np.append(0, cut), np.append(cut, len(keys)), strict=True):
-                for x, y in pairs(*(c[i:j] for c in columns)):
-                    a.append(x)
-                    b.append(y)
-                    size += len(x)
-                    if size >= RUN:
-                        yield batch_of(a, b)
+            for i, j in zip(np.append(0, cut).tolist(), np.append(cut, len(block)).tolist(), strict=True):
+                if (root[i:j] == root[i]).all():
+                    continue
+                for at in range(i, j - 1):
+                    rest = np.arange(at + 1, j)
+                    rest = rest[root[rest] != root[at]]
+                    rest = rest[_apart(bits, rest, at) <= most]
+                    if len(rest):
+                        a.append(np.full(len(rest), node[at]))
+                        b.append(node[rest])
+                        size += len(rest)
+                    if size > 1 << 20:
+                        yield _pairs_of(a, b)
                         a, b, size = [], [], 0
-            if a:
-                yield batch_of(a, b)
+            yield _pairs_of(a, b)
 
-        def batch_of(a, b):
-            a, b = np.concatenate(a), np.concatenate(b)
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+    return work
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy() for c in ("token", "lo", "hi")], axis=1)
-            bits = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, PARITY // 64)
-            now = keys, *(batch.column(c).to_numpy() for c in ("node", "n", "root")), bits
-            if rest is not None:
-                now = tuple(np.concatenate(x) for x in zip(rest, now, strict=True))
-            keys = now[0]
-            last = len(keys) - int(np.argmax((keys[::-1] != keys[-1]).any(axis=1))) if (keys != keys[-1]).any() else 0
-            rest = tuple(x[last:] for x in now)
-            if last:
-                yield from emit(*(x[:last] for x in now))
-        if rest is not None:
-            yield from emit(*rest)
 
-    return work
+def _dealt(own: DataFrame, positions: np.ndarray, chunk: int) -> DataFrame:
+    """(block, node, x, y): blocks of many members as pairs of chunks, each with
+    a block number of its own. Every 16th row shows which blocks have many; that
+    only decides how the work is dealt."""
+    schema = "block long, node long, x long, y long"
+    share = max(1, min(16, chunk // 256))
+    some = own.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).mapInArrow(_blocks(positions), schema)
+    hot = some.groupBy("block").count().where(F.col("count") * share > chunk).select("block", F.ceil(F.col("count") * share / chunk).cast("int").alias("parts"))
+    hot = durable(hot)
+    keyed = own.mapInArrow(_blocks(positions), schema)
+    many = hot.count()
+    if not many:
+        return keyed
+    parts = F.coalesce("parts", F.lit(1))
+    number = F.when(F.col("parts").isNull(), F.col("block")).otherwise(F.xxhash64("block", F.least("mine", "other"), F.greatest("mine", "other")))
+    joined = keyed.join(F.broadcast(hot) if many <= 100_000 else hot, "block", "left")
+    return joined.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), parts.cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select(number.alias("block"), "node", "x", "y")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, chunk: int = 4096) -> DataFrame:
+def _text_key(docs: DataFrame):
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, chunk: int = 4096, broadcast_ids: int = 1_000_000) -> DataFrame:
     """(doc_id, component_id) of every row with a doc_id: components of documents
     whose sets of ``shingle``-word shingles have a Jaccard similarity of
-    ``similarity`` or more. Every such pair is a link or within a component, and
-    each link is verified on the whole sets.
-
-    Equal sets are collapsed first. Pairs are verified in two rounds: a spanning
-    forest of what meets on a shingle, so that a large group of copies does not
-    cost its pairs; then all that meets and is not in one component yet. Tokens
-    of more than ``chunk`` members are dealt out as pairs of chunks.
+    ``similarity`` or more. Documents meet by SimHash blocks; each link is
+    verified on the whole sets, so none is wrong; of pairs of just
+    ``similarity`` about one in 200 shares no block, of closer ones hardly any.
+
+    Equal sets are collapsed first. Pairs are verified in two rounds: one for
+    each document, with the lowest that it met; then those that met and are not
+    in one component yet, in large blocks too. Null texts count as empty, and
+    texts without words are alike; repeated rows stay; an empty table gives no
+    rows. Up to ``broadcast_ids`` ids of documents that met others are broadcast
+    (a counted size); more are joined by shuffle.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
-    signed = rows.mapInArrow(_signatures(shingle, similarity, *_common_shingles(rows, shingle)), "doc_id long, node long, n long, sketch binary, wide array<long>, prefix array<long>")
-    fps = durable(signed)
-    own = durable(fps.groupBy("node").agg(F.min_by(F.struct("doc_id", "n", "sketch", "wide", "prefix"), "doc_id").alias("s")).select("node", "s.*"))
-    keyed = own.select("node", F.explode("prefix").alias("token")).select("token", "node")
-    met = durable(keyed.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "token long, node long"))
-    hot = met.groupBy("token").count().where(F.col("count") > chunk).select("token", F.ceil(F.col("count") / chunk).cast("int").alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    dealt = durable(
-        met.join(hot, "token", "left")
-        .withColumn("mine", F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node")
-    )
-    members = durable(own.select("node", "doc_id", "n", "sketch", "wide").join(met.select("node").distinct(), "node", "left_semi"))
-    share = (1 - similarity) / (1 + similarity)
+    return _classes(docs, shingle, similarity, chunk, broadcast_ids).select("doc_id", "component_id")
+
+
+def _classes(docs: DataFrame, shingle: int, similarity: float, chunk: int, broadcast_ids: int) -> DataFrame:
+    """``similar_documents`` with a hash of the text and the component's own
+    number: (doc_id, key, root, component_id)."""
+    rows = docs.select(F.col("doc_id").cast("long"), _text_key(docs).alias("key"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
+    prints = durable(rows.mapInArrow(_signatures(shingle), "doc_id long, key long, node long, print binary"))
+    own = durable(prints.groupBy("node", "print").agg(F.min("doc_id").alias("doc_id")))
+    positions, most = sampled_blocks(own.count(), similarity), allowed_bits(similarity)
+    dealt = _dealt(own.select("node", "print"), positions, chunk)
+    found = durable(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_meet(most), "a long, b long, dense long").distinct())
+    pairs = found.where("dense IS NULL").select("a", "b")
+    met = durable(own.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "doc_id"))
+    wanted = met.select("doc_id").distinct()
+    wanted = F.broadcast(wanted) if met.count() <= broadcast_ids else wanted
+    sets = durable(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, shingles array<long>").dropDuplicates(["node"]))
+
+    def verified(some: DataFrame) -> DataFrame:
+        for x in "ab":
+            some = some.join(sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_set")), x)
+        common, total = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
+        return durable(some.where(common >= F.lit(similarity) * (total - common)).select("a", "b"))
 
-    def both(pairs: DataFrame, sides: DataFrame) -> DataFrame:
+    def apart(some: DataFrame, roots: DataFrame) -> DataFrame:
         for x in "ab":
-            pairs = pairs.join(sides.select(*(F.col(c).alias(x if c == "node" else f"{x}_{c}") for c in sides.columns)), x)
-        return pairs
-
-    def verified(rooted: DataFrame, every: bool) -> DataFrame:
-        spread = dealt.join(rooted.select("node", "n", "root", "sketch"), "node").repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-        pairs = spread.mapInArrow(_meet(similarity, every), "a long, b long").distinct()
-        off = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        pairs = durable(both(pairs, members.select("node", "n", "wide")).where(off <= share * (F.col("a_n") + F.col("b_n")) + 1e-9).select("a", "b"))
-        wanted = members.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("doc_id").distinct()
-        sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, shingles array<long>").dropDuplicates(["node"])
-        common, total = F.size(F.array_intersect("a_shingles", "b_shingles")), F.size("a_shingles") + F.size("b_shingles")
-        return durable(both(pairs, durable(sets)).where(common / (total - common) >= similarity).select("a", "b"))
-
-    links = verified(members.withColumn("root", F.col("node")), False)
-    roots = connected_components(links)
-    rooted = durable(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    more = verified(rooted, True)
+            some = some.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")), x, "left")
+        return some.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+    links = verified(pairs.groupBy("b").agg(F.min("a").alias("a")))
+    roots = durable(connected_components(links))
+    rest = apart(pairs, roots)
+    dense = found.where("dense IS NOT NULL").select(F.col("dense").alias("block")).distinct()
+    if dense.head(1):
+        again = dealt.join(dense, "block").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        again = again.repartition("block").sortWithinPartitions("block").mapInArrow(_meet_apart(most), "a long, b long, dense long")
+        rest = rest.union(again.select("a", "b")).distinct()
+    more = verified(rest)
     if more.head(1):
         roots = connected_components(links.union(more))
     classes = own.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return fps.select("doc_id", "node").join(classes.select("node", "root").join(least, "root"), "node").select("doc_id", "component_id")
+    return prints.select("doc_id", "key", "node").join(classes.select("node", "root").join(least, "root"), "node").select("doc_id", "key", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, chunk: int = 4096, broadcast_ids: int = 1_000_000) -> DataFrame:
     """``docs`` with the document of the lowest doc_id of each component alone,
-    all columns as they are. Rows without a doc_id are returned unchanged; of
-    repeated rows one stays."""
-    first = similar_documents(docs, shingle, similarity).select(F.col("component_id").alias("doc_id")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    all columns as they are. Rows without a doc_id are returned unchanged. Of
+    rows that share a doc_id and a component one stays: the text of the lowest
+    hash, and of equal texts the row of the lowest hash over all columns."""
+    names = docs.columns
+    number = F.row_number().over(Window.partitionBy("doc_id", "root").orderBy("key"))
+    found = _classes(docs, shingle, similarity, chunk, broadcast_ids).groupBy("doc_id", "key", "root", "component_id").count()
+    found = durable(found.withColumn("stays", (number == 1) & (F.col("doc_id") == F.col("component_id"))))
+    doc, key = free_name("doc", names), free_name("key", names)
+    side = lambda rows: rows.select(F.col("doc_id").alias(doc), F.col("key").alias(key))
+    gone, twice = side(found.where("NOT stays")), side(found.where("stays AND count > 1"))
+    gone = F.broadcast(gone) if gone.count() <= broadcast_ids else gone
+    same = (docs["doc_id"].cast("long") == F.col(doc)) & (_text_key(docs) == F.col(key))
+    left = docs.join(gone, same, "left_anti")
+    if not twice.head(1):
+        return left
+    row = free_name("row", names)
+    whole = F.struct(*(docs[f"`{c}`"] for c in names))
+    ones = docs.join(twice, same).groupBy(doc, key).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias(row))
+    return left.join(twice, same, "left_anti").unionByName(ones.select(f"{row}.*"))

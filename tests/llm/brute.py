@@ -47,24 +47,27 @@ def components(prints: list[int], distance: int = 4) -> list[int]:
     return [find(a) for a in range(len(prints))]
 
 
-def similar(prints: list[bytes], most: int, positions) -> list[int]:
-    """The lowest index each index reaches over pairs that agree on all bits of
-    one block and differ in at most ``most`` bits."""
-    bits = [np.unpackbits(np.frombuffer(p, np.uint8)) for p in prints]
-    root = list(range(len(prints)))
+def shingles(text: str | None, n: int = 5) -> frozenset:
+    w = words((text or "").lower())
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def similar(texts: dict[int, str | None], similarity: float = 0.8) -> dict[int, int]:
+    """The lowest id each id reaches over pairs of Jaccard ``similarity`` or more."""
+    sets = {d: shingles(t) for d, t in sorted(texts.items())}
+    root = {d: d for d in sets}
 
     def find(a):
         while root[a] != a:
             a = root[a]
         return a
 
-    for a in range(len(prints)):
-        for b in range(a):
-            off = bits[a] != bits[b]
-            if off.sum() <= most and not all(off[list(p)].any() for p in positions):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return [find(a) for a in range(len(prints))]
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if b < a and 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and (x == y or len(x & y) / len(x | y) >= similarity):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return {d: find(d) for d in sets}
 
 
 def repeated(docs: list[tuple[int, str | None]], n: int = 50) -> dict[int, dict[int, int]]:

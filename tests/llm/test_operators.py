@@ -347,8 +347,46 @@ def test_spans_at_random(spark, seed):
         rows.append((d, " ".join(parts)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     check_spans(suffix_dedup.repeated_spans(df).collect(), rows)
+    check_spans(suffix_dedup.repeated_spans(df, hot=3).collect(), rows)  # nearly every head is hot
     small = [(d, t) for d, t in rows if d < 30]
-    check_spans(suffix_dedup.repeated_spans(spark.createDataFrame(small, "doc_id long, text string"), 12, 5).collect(), small, 12)
+    few = spark.createDataFrame(small, "doc_id long, text string")
+    for hot in (8192, 6):
+        check_spans(suffix_dedup.repeated_spans(few, 12, 5, hot).collect(), small, 12)
+
+
+def test_words_of_equal_hash_are_told_apart(spark):
+    """The polynomial hash is blind to this pair of words (Thue-Morse)."""
+    one = "".join("ab"[k.bit_count() & 1] for k in range(1 << 11))
+    other = one.translate(str.maketrans("ab", "ba"))
+    assert common.word_hashes(one) == common.word_hashes(other)
+    w = [f"w{k}" for k in range(120)]
+    rows = [(1, " ".join([*w[:60], one, *w[60:]])), (2, " ".join([*w[:60], other, *w[60:]])), (3, " ".join([*w[20:60], one, *w[60:100]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (8192, 1):
+        check_spans(suffix_dedup.repeated_spans(df, hot=hot).collect(), rows)
+
+
+def test_runs_of_many_suffixes(spark, monkeypatch):
+    """Groups that span batches, and more rows than are compared at a time."""
+    w = [f"w{k}" for k in range(70)]
+    rows = [(d, " ".join([f"u{d}", *w, f"v{d}"])) for d in range(40)] + [(100 + d, " ".join(["again"] * (60 + d))) for d in range(5)]
+    monkeypatch.setattr(suffix_dedup, "ROWS", 8)
+    check_spans(suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect(), rows)
+
+
+def test_one_id_for_two_texts(spark):
+    w = [f"w{k}" for k in range(200)]
+    at = lambda a, b: " ".join(w[a:b])
+    rows = [(7, at(0, 60)), (7, "x " + at(100, 160)), (3, at(0, 55)), (4, "y z " + at(105, 160))]
+    left = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in left.collect()) == [(3, at(0, 55)), (4, "y z " + at(105, 160)), (7, at(55, 60)), (7, "x " + at(100, 105))]
+
+
+def test_without_repeats_takes_clashing_names(spark):
+    rows = [(k, " ".join(f"w{j}" for j in range(60)) + f" u{k}") for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("DOC", "key", "marks", "marks_", "copy", "__marks", "__copy", "k1")})
+    left = suffix_dedup.without_repeats(df)
+    assert left.columns == df.columns and rows_of(left, "doc_id", "text") == [(0, rows[0][1]), (1, "u1")]
 
 
 def brute_without(rows, n=50):
@@ -654,22 +692,31 @@ def test_links_join_all_close_fingerprints(spark, chunk):
 
 
 def similar_classes(texts):
-    ids = sorted(texts)
-    prints = [simhash.long_fingerprint(texts[d] or "") for d in ids]
-    return {d: ids[r] for d, r in zip(ids, brute.similar(prints, simhash.allowed_bits(0.8), simhash._POSITIONS), strict=True)}
+    return brute.similar(texts)
 
 
 def test_long_fingerprint_is_a_majority():
-    text = "a B c d e f g h i j"
-    hashes = np.unique(common.window_hashes(common.word_hashes(text.lower()), 5))
+    hashes = simhash.shingle_set("a B c d e f g h i j" + " z" * 600 + " y x w v u")
     want = []
-    for k in range(4):
+    for k in range(8):
         for byte in range(8):
             for bit in reversed(range(8)):
                 votes = sum(int(common.mix(hashes + np.uint64(k))[x]) >> (8 * byte + bit) & 1 for x in range(len(hashes)))
                 want.append(2 * votes > len(hashes))
-    assert np.unpackbits(np.frombuffer(simhash.long_fingerprint(text), np.uint8)).tolist() == want
-    assert simhash.long_fingerprint(" ") == bytes(32) != simhash.long_fingerprint("x") and simhash.long_fingerprint("A b") == simhash.long_fingerprint("a  B")
+    assert np.unpackbits(np.frombuffer(simhash.long_fingerprint(hashes), np.uint8)).tolist() == want
+    assert simhash.long_fingerprint(simhash.shingle_set(" ")) == bytes(64)
+    assert (simhash.shingle_set("A b") == simhash.shingle_set("a  B")).all()
+
+
+def test_blocks_widen_with_the_rows():
+    small, large = simhash.sampled_blocks(1000, 0.8), simhash.sampled_blocks(1 << 34, 0.8)
+    assert small.shape[1] == 16 and large.shape[1] == 24 and len(small) < len(large)
+    for blocks in (small, large):
+        assert all(len(set(b)) == len(b) for b in blocks.tolist())
+        assert (1 - simhash.agreement(0.8) ** blocks.shape[1]) ** len(blocks) <= simhash.MISSED
+    for rows, many in ((1, 6), (1 << 30, 6), (1 << 34, 7), (1 << 40, 8)):
+        cut = simhash.pieces(rows)
+        assert len(cut) == many and sum(w for _, w in cut) == 64 and [a for a, _ in cut] == [sum(w for _, w in cut[:k]) for k in range(many)]
 
 
 @pytest.mark.parametrize("chunk", [4096, 3])
@@ -686,4 +733,8 @@ def test_one_of_each(spark, docs, none):
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == sorted(set(classes.values()))
     rows = [(1, "a"), (1, "a"), (None, "a"), (None, "b")]
     assert rows_of(simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")), "text") == [("a",), ("a",), ("b",)]
+    # two texts of one id: each is judged by itself
+    rows = [(5, "a b c d e f"), (5, "q r s t u v"), (5, "q r s t u v"), (3, "a b c d e f"), (6, "Q r s t u v"), (7, None), (7, " ")]
+    left = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("DOC", "key", "root", "row", "stays", "a", "b", "node")}))
+    assert rows_of(left.where("doc_id < 7"), "doc_id", "text") == [(3, "a b c d e f"), (5, "q r s t u v")] and left.where("doc_id = 7").count() == 1
     assert simhash.one_of_each(none).count() == 0

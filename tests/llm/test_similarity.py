@@ -9,32 +9,10 @@ import pytest
 import corpus_pipeline
 from catalyte.llm import simhash
 
+from . import brute
 from ..conftest import TINY
 
 
-def shingles(text: str | None, n: int = 5) -> frozenset:
-    w = (text or "").encode().lower().split()
-    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
-
-
-def classes(texts: dict[int, str | None], similarity: float = 0.8) -> dict[int, int]:
-    """The lowest id each id reaches over pairs of Jaccard ``similarity`` or more."""
-    sets = {d: shingles(t) for d, t in sorted(texts.items())}
-    root = {d: d for d in sets}
-
-    def find(a):
-        while root[a] != a:
-            a = root[a]
-        return a
-
-    for a, x in sets.items():
-        for b, y in sets.items():
-            if b < a and 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and (x == y or len(x & y) / len(x | y) >= similarity):
-                low, high = sorted((find(a), find(b)))
-                root[high] = low
-    return {d: find(d) for d in sets}
-
-
 def graded() -> list[tuple[int, str]]:
     """Texts, and rewrites that share from less than 0.6 to over 0.9 with them; a
     line that all have; a chain whose ends alone are not similar; short texts."""
@@ -59,17 +37,53 @@ def graded() -> list[tuple[int, str]]:
 def test_links_are_exact(spark, chunk):
     rows = graded()
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk).collect()}
-    assert got == classes(dict(rows))
+    assert got == brute.similar(dict(rows))
 
 
-def test_order_of_shingles_does_not_matter(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "COMMON", 0)
-    rows = graded()
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == classes(dict(rows))
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_a_large_group(spark, chunk):
+    """More near copies than a block compares pair by pair; two groups that only
+    some members join; a group whose fingerprints are near but whose sets are not
+    similar enough."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    base, out = [word() for _ in range(300)], []
+    for share in (0.97, 0.88, 0.75):
+        for _ in range(40):
+            cut = int(len(base) * share)
+            out.append(" ".join(base[:cut] + [word() for _ in range(len(base) - cut)]))
+    rng.shuffle(out)
+    rows = list(enumerate(out))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), chunk=chunk, broadcast_ids=4096 if chunk > 3 else 0).collect()}
+    assert got == brute.similar(dict(rows))
+
+
+def test_recall_and_precision(spark):
+    """Pairs of just over the similarity asked for are found; none is made up."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    rows, close = [], 0
+    for k in range(400):
+        base = [word() for _ in range(rng.randrange(100, 400))]
+        shared = rng.uniform(0.86, 0.94)
+        cut = int(len(base) * shared)
+        pair = " ".join(base), " ".join(base[:cut] + [word() for _ in range(len(base) - cut)])
+        x, y = map(brute.shingles, pair)
+        close += 0.8 <= len(x & y) / len(x | y) < 0.85
+        rows += [(2 * k, pair[0]), (2 * k + 1, pair[1])]
+    assert close > 100
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = {}
+    for (a, x), (b, y) in zip(rows[::2], rows[1::2], strict=True):
+        x, y = brute.shingles(x), brute.shingles(y)
+        want[b] = a if len(x & y) / len(x | y) >= 0.8 else b
+    assert all(got[b] in (b, a) for b, a in want.items())
+    wrong = [b for b, a in want.items() if a == b and got[b] != b]
+    missed = [b for b, a in want.items() if a != b and got[b] != a]
+    assert not wrong and len(missed) <= 0.01 * sum(a != b for b, a in want.items())
 
 
 def test_stage_keeps_clean_documents(spark):
     docs = spark.read.parquet(f"{TINY}/documents.parquet")
     left = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, TINY).collect()}
-    assert left == set(classes({r["doc_id"]: r["text"] for r in docs.collect()}).values())
+    assert left == set(brute.similar({r["doc_id"]: r["text"] for r in docs.collect()}).values())
