@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ BASE_INV = pow(BASE, -1, 1 << 64)
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the session names in ``spark.checkpoint.dir``; a
-    temporary one only where none is set (tests, local mode)."""
+    temporary one where none is set, in local mode alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if named:
@@ -33,6 +34,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not (sc.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="catalyte-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -45,12 +48,17 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def lowest_by_hash(df: DataFrame, key: str, n: int, *ties: str) -> DataFrame:
-    """``n`` rows of ``df``, those whose key hashes lowest. A bound on the hash,
-    from the number of rows, leaves each task a handful to send."""
-    total = df.count()
+    """The ``n`` distinct (key, ties) of ``df`` whose key hashes lowest, all of
+    them where there are fewer. A bound on the hash, from the number of rows,
+    leaves each task a handful to send; where keys repeat so much that fewer than
+    ``n`` are below it, there is no bound."""
+    rows, total = df.select(key, *ties), df.count()
+    lowest = lambda some: some.distinct().orderBy(F.xxhash64(key), key, *ties).limit(n)
     if total > 4 * n:
-        df = df.where(F.xxhash64(key) < -(1 << 63) + int((1 << 64) * 3 * n / total))
-    return df.orderBy(F.xxhash64(key), key, *ties).limit(n)
+        found = durable(lowest(rows.where(F.xxhash64(key) < -(1 << 63) + int((1 << 64) * 3 * n / total))))
+        if found.count() == n:
+            return found
+    return lowest(rows)
 
 
 def free_name(name: str, taken: list[str]) -> str:
@@ -85,89 +93,92 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 8 << 20):
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 
 
+class _Kept(dict):
+    """Values of ``make`` by key; at most ``limit`` short keys are kept (the
+    first, hence most frequent)."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(self) < self.limit and len(key) <= 24:
+            self[key] = value
+        return value
+
+
 class PieceEncoder:
     """``tokenizers`` encodings of whole texts, as little-endian uint32 bytes.
 
     Texts are cut where the vocabulary's pre-tokenizer cuts too, whatever
-    follows: around words of Latin letters, around punctuation marks, and in
-    white space. What is between such cuts repeats; each part is encoded once
-    and kept. ``limit`` bounds the kept parts (the first, hence most frequent,
-    stay).
+    follows: before a space that no white space follows, then around words of
+    Latin letters, around punctuation marks, and in white space. What is between
+    such cuts repeats; each chunk and each part is encoded once and kept.
     """
 
-    PARTS = re.compile(rf" ?[{LATIN}]++(?![^\W_])| ?[.,;:!?]++(?=\s|\Z|[{LATIN}])|\s+(?!\S)| ?\S+|\s+")
+    PARTS = re.compile(rf"( ?[{LATIN}]++(?![^\W_])| ?[.,;:!?]++(?=\s|\Z|[{LATIN}]))|(\s+(?!\S)| ?\S+|\s+)")
+    CUT = re.compile(r" (?=\S)")
     #: White space to Python, but not to the pre-tokenizer; and what it takes out
     #: of a text before it cuts, so that white space ends there.
-    ODD = re.compile(r"[\x1c-\x1f]|<\|endoftext")
+    ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|endoftext")
+    #: What may follow a space in an ASCII text so that there is no cut.
+    GAPS = tuple(f" {c}" for c in " \t\n\v\f\r")
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # In a byte-level vocabulary a token has one character for each byte.
-        size = {i: len(t) for t, i in self.tokenizer.get_vocab().items()}
-        self.lengths = np.array([size.get(i, 0) for i in range(max(size) + 1)], np.int64)
-        self.limit = limit
-        self.parts: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        # The byte-level alphabet: printable Latin-1 characters stand for
+        # themselves, the other bytes for the characters from 256 on.
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.chunks = _Kept(self._chunk, limit)
+        self.words = _Kept(self._word, limit // 2)
+        self.others = _Kept(self._one, limit // 8)
 
     def _one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _many(self, parts: list[str], between: str) -> list[bytes]:
-        """Encodes parts side by side (they start with a space), or with a line
-        feed between them; token lengths in bytes tell them apart again."""
-        out: list[bytes] = []
-        gap = len(between)
-        for at in range(0, len(parts), 4_000):
-            some = parts[at : at + 4_000]
-            found = self.tokenizer.encode_batch_fast([between.join(some)], add_special_tokens=False)[0]
-            ids = np.array(found.ids, "<u4")
-            stops = np.cumsum(self.lengths[ids])  # byte after each token
-            sizes = np.fromiter((len(p.encode()) for p in some), np.int64, len(some))
-            last = np.cumsum(sizes + gap) - gap
-            ends = np.searchsorted(stops, last) + 1
-            starts = np.searchsorted(stops, last - sizes, side="right")
-            raw = ids.tobytes()
-            out.extend([raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)])
-        return out
-
-    def _resolve(self, new: list[str]) -> dict[str, bytes]:
-        spaced, bare, rest = [], [], []
-        for x in new:
-            core = x[1:] if x[0] == " " else x
-            if not core.isalpha():
-                rest.append(x)
-            elif core is x:
-                bare.append(x)
-            else:
-                spaced.append(x)
-        got = dict(zip(spaced, self._many(spaced, ""), strict=True))
-        got.update(zip(bare, self._many(bare, "\n"), strict=True))
-        got.update((x, self._one(x)) for x in rest)
-        return got
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """A part that the pre-tokenizer leaves whole goes to the model itself."""
+        shown = word.replace(" ", self.alphabet[32]) if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _parts(self, text: str) -> bytes:
+        return b"".join([self.words[w] if w else self.others[x] for w, x in self.PARTS.findall(text)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        return self._plain(chunk, " ")
+
+    def _plain(self, chunk: str, lead: str) -> bytes:
+        """The ids of ``lead`` and ``chunk``, which is not empty; most are a word, a
+        word and a mark, or such on either side of a line feed."""
+        core, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in ".,;:!?" else (chunk, "")
+        if core.isalpha() and max(core) < "\u0250":
+            word = self.words[lead + core]
+            return word + self.words[mark] if mark else word
+        if "\n" in chunk:
+            head, _, tail = chunk.partition("\n")
+            if head and not head[-1].isspace() and tail and not tail[0].isspace():
+                return (self.chunks[head] if lead else self._plain(head, "")) + self.others["\n"] + self._plain(tail, "")
+        return self._parts(lead + chunk)
+
+    def _text(self, text: str) -> bytes:
+        if any(x in text for x in self.ODD):
+            return self._one(text)
+        if text.isascii() and not text.endswith(" ") and not any(x in text for x in self.GAPS):
+            first, *rest = text.split(" ")
+        else:
+            first, *rest = self.CUT.split(text)
+        return b"".join([self._parts(first), *map(self.chunks.__getitem__, rest)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        known = self.parts
-        cut = [None if self.ODD.search(t) else self.PARTS.findall(t) for t in texts]
-        found = [None if p is None else list(map(known.get, p)) for p in cut]
-        new = {x for p, f in zip(cut, found, strict=True) if f is not None and None in f for x, y in zip(p, f, strict=True) if y is None}
-        got = self._resolve(list(new))
-        out = []
-        for text, p, f in zip(texts, cut, found, strict=True):
-            if f is None:
-                out.append(self._one(text))
-            elif None in f:
-                out.append(b"".join([got[x] if y is None else y for x, y in zip(p, f, strict=True)]))
-            else:
-                out.append(b"".join(f))
-        room = self.limit - len(known)
-        if room >= len(got):
-            known.update(got)
-        elif room > 0:
-            known.update([(x, y) for x, y in got.items() if len(x) <= 24][:room])
-        return out
+        return [self._text(t) for t in texts]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

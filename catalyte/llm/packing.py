@@ -15,7 +15,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,7 +120,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
 
 def place(pieces: DataFrame, capacity: int = 2048, per_bucket: int = 100_000) -> DataFrame:
     """``pieces`` (with a column length of 1 to ``capacity``) with sequence_id
-    and offset. ``pieces`` must be a checkpointed or written table."""
+    and offset. ``pieces`` must be a checkpointed or written table. Rows without
+    a doc_id are placed like others; equal rows get places of their own; which of
+    equally long pieces goes where is decided by a hash of their columns, then by
+    doc_id and piece; without rows nothing is placed."""
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     if histogram and not 1 <= min(histogram) <= max(histogram) <= capacity:
@@ -137,19 +139,20 @@ def place(pieces: DataFrame, capacity: int = 2048, per_bucket: int = 100_000) ->
     # New names: both sides of the cogroup come from one table.
     bases = counts.select(F.col("bucket").alias("b"), F.col("length").alias("size"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
-    def work(rows: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+    def work(rows: pa.Table, base: pa.Table) -> pa.Table:
         starts, segments = shared.value
-        first = dict(zip(base["size"], base["base"], strict=True))
-        rows = rows.sort_values(["length", "doc_id", "piece"], kind="stable").reset_index(drop=True)
+        first = np.zeros(capacity + 1, np.int64)
+        first[base["size"].to_numpy()] = base["base"].to_numpy()
+        rows = rows.sort_by([("length", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         size = rows["length"].to_numpy()
-        rank = rows.groupby("length").cumcount().to_numpy() + rows["length"].map(first).to_numpy()
+        begin = np.flatnonzero(np.diff(size, prepend=-1))
+        rank = np.arange(len(size)) - np.repeat(begin, np.diff(np.append(begin, len(size)))) + first[size]
         s = _segment(starts, segments, size, rank)
         local = rank - s[:, 1]
-        rows["sequence_id"] = s[:, 4] + local // s[:, 3]
-        rows["offset"] = s[:, 5] + local % s[:, 3] * size
-        return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+        kept = rows.select(["doc_id", "piece", "start", "length", "ids_crc32"])
+        return kept.append_column("sequence_id", pa.array(s[:, 4] + local // s[:, 3])).append_column("offset", pa.array(s[:, 5] + local % s[:, 3] * size))
 
-    return keyed.groupBy("bucket").cogroup(bases.groupBy("b")).applyInPandas(work, PIECES + ", sequence_id long, offset long")
+    return keyed.groupBy("bucket").cogroup(bases.groupBy("b")).applyInArrow(work, PIECES + ", sequence_id long, offset long")
 
 
 def _segment(starts: np.ndarray, segments: np.ndarray, size: np.ndarray, rank: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoder, ensure_checkpoint_dir, lowest_by_hash, slices, texts_of
+from .common import durable, encoder, ensure_checkpoint_dir, lowest_by_hash, slices, texts_of
 
 MAGIC = b"CTB1"
 NULL_ID = -(1 << 63)
@@ -52,19 +52,17 @@ def train_dictionary(samples: list[bytes], size: int = 64 << 10) -> bytes:
         return b"".join(samples)[-size:] or b"\0"
 
 
-def write_block(rows: list[tuple[int | None, bytes]], width: int, dictionary: bytes, level: int = 3) -> bytes:
-    """One block of (doc_id, little-endian uint32 ids) in the given order."""
-    squeeze = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
-    return _block(rows, width, hashlib.sha256(dictionary).digest(), squeeze)
+def compressor(dictionary: bytes, level: int = 3) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
 
 
-def _block(rows, width, sha, squeeze) -> bytes:
-    frames = [squeeze.compress(serialize(raw, width)) for _, raw in rows]
-    ids = np.array([NULL_ID if d is None else d for d, _ in rows], "<i8")
-    counts = np.array([len(raw) // 4 for _, raw in rows], "<u4")
-    ends = np.cumsum([len(f) for f in frames]).astype("<u4")
+def write_block(rows: list[tuple[int | None, int, bytes]], width: int, sha: bytes) -> bytes:
+    """One block of (doc_id, number of ids, frame) in the given order."""
+    ids = np.array([NULL_ID if d is None else d for d, _, _ in rows], "<i8")
+    counts = np.array([n for _, n, _ in rows], "<u4")
+    ends = np.cumsum([len(f) for _, _, f in rows]).astype("<u4")
     head = MAGIC + bytes([width]) + sha + len(rows).to_bytes(4, "little")
-    return b"".join([head, ids.tobytes(), counts.tobytes(), ends.tobytes(), *frames])
+    return b"".join([head, ids.tobytes(), counts.tobytes(), ends.tobytes(), *(f for _, _, f in rows)])
 
 
 def block_index(block: bytes) -> tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray, int]:
@@ -86,23 +84,44 @@ def read_document(block: bytes, at: int, expand: zstandard.ZstdDecompressor) ->
     return raw if width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
 
 
+def frames_of(docs: DataFrame, tokenizer_path: str, end_id: int, width: int, dictionary: bytes) -> DataFrame:
+    """(doc_id, key, n, frame) of every row: a hash of its text, the number of its
+    ids with ``end_id``, and their compressed frame."""
+
+    def work(batches):
+        squeeze = compressor(dictionary)
+        tail = np.array([end_id], "<u4").tobytes()
+        for whole in batches:
+            for batch in slices(whole, "text", 4 << 20):
+                ids = [raw + tail for raw in encoder(tokenizer_path).encode(texts_of(batch.column("text")))]
+                frames = [squeeze.compress(serialize(raw, width)) for raw in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("key"), pa.array([len(raw) // 4 for raw in ids], pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "key", "n", "frame"]
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"), F.col("text").cast("string"))
+    return rows.mapInArrow(work, "doc_id long, key long, n long, frame binary")
+
+
 def write_token_blocks(
-    docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, sample_docs: int = 1000, sample_chars: int = 20_000, block_bytes: int = 4 << 20, shards: int | None = None
+    docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, sample_docs: int = 1000, sample_chars: int = 20_000, block_bytes: int = 4 << 20, shard_bytes: int = 32 << 20, shards: int | None = None
 ) -> None:
     """Writes every document of ``docs`` below ``path`` (folders ``blocks`` and
     ``dictionary``), in ascending doc_id order over all shards.
 
-    ``sample_docs`` rows of at most ``sample_chars`` characters fit the
-    dictionary; everything else covers all rows, whole texts.
+    The first ``sample_chars`` characters of ``sample_docs`` rows fit the
+    dictionary; everything else covers all rows, whole texts. Texts are encoded
+    and compressed where they lie; only frames are shuffled. Shards hold about
+    ``shard_bytes`` of them.
     """
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     width = 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-    ids = lowest_by_hash(rows.select("doc_id"), "doc_id", sample_docs).distinct()
-    some = rows.join(F.broadcast(ids), "doc_id").where(F.length("text") <= sample_chars).orderBy("doc_id", "text").limit(sample_docs).collect()
-    dictionary = train_dictionary([serialize(x, width) for x in encoder(tokenizer_path).encode([r["text"] for r in some])])
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
+    ids = lowest_by_hash(rows, "doc_id", sample_docs)
+    some = rows.join(F.broadcast(ids), "doc_id").select("doc_id", F.substring("text", 1, sample_chars).alias("text")).orderBy("doc_id", "text").limit(sample_docs).collect()
+    dictionary = train_dictionary([serialize(x, width) for x in encoder(tokenizer_path).encode([r["text"] or "" for r in some])])
     sha = hashlib.sha256(dictionary).digest()
     spark.createDataFrame([(bytearray(dictionary), sha.hex())], "dictionary binary, sha256 string").coalesce(1).write.parquet(f"{path}/dictionary")
 
@@ -110,32 +129,33 @@ def write_token_blocks(
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        squeeze = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
-        tail = np.array([end_id], "<u4").tobytes()
-        waiting: list[tuple[int | None, bytes]] = []
-        held = block = 0
+        waiting: list[tuple[int | None, int, bytes]] = []
+        held = block = before = 0
 
         def flush():
-            data = _block(waiting, width, sha, squeeze)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([sum(len(x) for _, x in waiting) // 4], pa.int64()), pa.array([data], pa.binary())],
-                names=["shard", "block", "n_tokens", "data"],
+            n = sum(x for _, x, _ in waiting)
+            return n, pa.RecordBatch.from_arrays(
+                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([write_block(waiting, width, sha)], pa.binary())],
+                names=["shard", "block", "before", "n_tokens", "data"],
             )
 
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                for doc, raw in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer_path).encode(texts_of(batch.column("text"))), strict=True):
-                    waiting.append((doc, raw + tail))
-                    held += len(raw) + 4
-                    if held >= block_bytes:
-                        yield flush()
-                        waiting, held, block = [], 0, block + 1
+        for batch in batches:
+            for doc, n, frame in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("frame"), strict=True):
+                waiting.append((doc, n, frame.as_py()))
+                held += frame.as_buffer().size
+                if held >= block_bytes:
+                    n, out = flush()
+                    yield out
+                    waiting, held, block, before = [], 0, block + 1, before + n
         if waiting:
-            yield flush()
+            yield flush()[1]
 
-    n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ordered.mapInArrow(work, "shard int, block int, n_tokens long, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    frames = durable(frames_of(docs, tokenizer_path, end_id, width, dictionary))
+    size = frames.agg(F.sum(F.length("frame"))).first()[0] or 0
+    n = shards or max(1, -(-size // shard_bytes))
+    order = (F.col("doc_id").asc_nulls_first(), F.col("key"))
+    ordered = frames.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ordered.mapInArrow(work, "shard int, block int, before long, n_tokens long, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_token_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -146,18 +166,16 @@ def read_token_blocks(spark: SparkSession, path: str) -> DataFrame:
     if hashlib.sha256(dictionary).digest() != sha:
         raise ValueError("the dictionary does not have its hash")
     blocks = spark.read.parquet(f"{path}/blocks")
-    # One row a block: a few bytes of every few megabytes written.
-    sizes = sorted((r["shard"], r["block"], r["n_tokens"]) for r in blocks.groupBy("shard", "block").agg(F.sum("n_tokens").alias("n_tokens")).collect())
-    starts, total = {}, 0
-    for shard, block, n in sizes:
-        starts[shard, block] = total
-        total += n
+    # A block says how many ids of its shard come before it, so that one number
+    # a shard is all that has to be known elsewhere.
+    sizes = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()}
+    starts = dict(zip(sorted(sizes), np.cumsum([0, *(sizes[s] for s in sorted(sizes))]).tolist(), strict=False))
     shared = spark.sparkContext.broadcast(starts)
 
     def work(batches):
         expand = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
         for batch in batches:
-            for shard, at, data in zip(batch.column("shard").to_pylist(), batch.column("block").to_pylist(), batch.column("data"), strict=True):
+            for shard, start, data in zip(batch.column("shard").to_pylist(), batch.column("before").to_pylist(), batch.column("data"), strict=True):
                 data = data.as_py()
                 width, found, ids, counts, ends, frames = block_index(data)
                 if found != sha:
@@ -168,13 +186,13 @@ def read_token_blocks(spark: SparkSession, path: str) -> DataFrame:
                     wide = raw if width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
                     crcs.append(zlib.crc32(wide))
                     begin = end
-                before = shared.value[shard, at] + np.concatenate([[0], np.cumsum(counts[:-1], dtype=np.int64)])
+                before = shared.value[shard] + start + np.concatenate([[0], np.cumsum(counts[:-1], dtype=np.int64)])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, mask=ids == NULL_ID), pa.array(before.astype(np.int64)), pa.array(counts.astype(np.int64)), pa.array(np.array(crcs, np.int64))],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return blocks.select("shard", "block", "data").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blocks.select("shard", "before", "data").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:

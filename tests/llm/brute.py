@@ -123,10 +123,9 @@ def best_fit(lengths: list[int], capacity: int) -> int:
 def top_k(vectors: list[tuple[int, list | None]], k: int = 10, every: int = 100) -> list[tuple[int, int, int, int]]:
     kept = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i, q in kept:
-        if i % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, c, strict=False)), j) for j, c in kept if j != i)[:k]
-            out += [(i, r, j, -s) for r, (s, j) in enumerate(scores, 1)]
+    for i in sorted({i for i, _ in kept if i % every == 0}):
+        scores = sorted((-sum(a * b for a, b in zip(q, c, strict=False)), j) for own, q in kept if own == i for j, c in kept if j != i)[:k]
+        out += [(i, r, j, -s) for r, (s, j) in enumerate(scores, 1)]
     return out
 
 

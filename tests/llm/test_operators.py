@@ -224,6 +224,12 @@ def test_packing_of_repeated_rows(spark, docs, none):
     assert packing.pack(none, queries.tokenizer_path()).count() == 0
 
 
+def test_packing_keeps_large_ids(spark):
+    """Ids beyond 2**53 beside a null one in the same bucket."""
+    rows = [(None, "a"), *((9007199254740993 + k, "b c") for k in range(6)), (-(1 << 63), "x"), ((1 << 63) - 1, None)]
+    check_packing(packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer_path()).collect(), rows, 2048)
+
+
 def test_packing_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{TINY}/documents.parquet").select("doc_id", "text").collect()]
     check_packing(queries.op3_packing(spark, TINY).collect(), rows, 2048)
@@ -440,6 +446,26 @@ def test_token_output(spark, docs, none):
     check_tokens(token_output.token_output(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer_path()).collect(), rows)
 
 
+def test_dictionary_of_long_texts(spark, tmp_path):
+    """A table of long texts alone still trains one; shards follow the size."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(50)) for _ in range(6000))) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    token_output.write_token_blocks(df, str(tmp_path), queries.tokenizer_path(), block_bytes=10_000, shard_bytes=40_000)
+    assert len(spark.read.parquet(f"{tmp_path}/dictionary").first()["dictionary"]) > 1000
+    blocks = spark.read.parquet(f"{tmp_path}/blocks")
+    assert blocks.select("shard").distinct().count() > 1 and blocks.count() > 4
+    check_tokens(token_output.read_token_blocks(spark, str(tmp_path)).collect(), rows)
+
+
+def test_sample_of_repeated_keys(spark):
+    """One key holds nearly all rows: the sample still has as many as asked for."""
+    df = spark.createDataFrame([(7, "x")] * 300 + [(k, "y") for k in range(100, 130)], "k long, t string")
+    got = [r["k"] for r in common.lowest_by_hash(df, "k", 20, "t").collect()]
+    full = [r["k"] for r in df.distinct().orderBy(F.xxhash64("k"), "k").limit(20).collect()]
+    assert got == full and len(set(got)) == 20
+
+
 def test_token_query(spark):
     check_tokens(queries.op6_token_output(spark, TINY).collect(), [tuple(r) for r in spark.read.parquet(f"{TINY}/documents.parquet").select("doc_id", "text").collect()])
 
@@ -451,10 +477,11 @@ def test_short_document_access():
     rows = [(k, rng.integers(0, 60_000, n).astype("<u4").tobytes()) for k, n in enumerate([0, 1, 5000, 3, 40])]
     for width, data in ((2, rows), (4, [(None, np.array([1 << 20], "<u4").tobytes())])):
         dictionary = token_output.train_dictionary([token_output.serialize(r, width) for _, r in data])
-        block = token_output.write_block(data, width, dictionary)
+        squeeze, sha = token_output.compressor(dictionary), hashlib.sha256(dictionary).digest()
+        block = token_output.write_block([(d, len(r) // 4, squeeze.compress(token_output.serialize(r, width))) for d, r in data], width, sha)
         expand = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
         assert [token_output.read_document(block, k, expand) for k in range(len(data))] == [r for _, r in data]
-        assert token_output.block_index(block)[1] == hashlib.sha256(dictionary).digest()
+        assert token_output.block_index(block)[1] == sha
     with pytest.raises(ValueError):
         token_output.block_index(b"JUNK")
 
@@ -508,11 +535,11 @@ def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(int(k), [float(x) for x in rng.normal(0, rng.choice([0.1, 1, 3]), 24)]) for k in range(600)]
     rows += [(600 + k, [0.5] * 24) for k in range(60)]  # ties
-    rows += [(700, None), (701, [1.0, None]), (702, [float("nan")] * 24), (703, [float("inf")] * 24), (800, []), (801, [2.0]), (900, [0.0] * 24), (3, rows[3][1])]
+    rows += [(700, None), (701, [1.0, None]), (702, [float("nan")] * 24), (703, [float("inf")] * 24), (800, []), (801, [2.0]), (900, [0.0] * 24), (3, rows[3][1]), (200, rows[7][1]), (300, rows[300][1])]
     df = spark.createDataFrame([(*r, 0, 0) for r in rows], "vec_id long, embedding array<double>, score int, rank int").repartition(3)
-    for options in ({}, {"seeds": 5, "block": 100, "chunk": 3}):
+    for options in ({}, {"seeds": 5, "block": 100, "chunk": 3}, {"seeds": 1, "block": 20, "ranges": 7, "chunk": 2}):
         got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, **options).collect())
-        assert got == sorted(brute.top_k(rows[:-1]))
+        assert got == sorted(brute.top_k(rows))
     assert topk.top_k(df.limit(0)).count() == 0
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df.where("vec_id IN (100, 5)")).collect()) == sorted(brute.top_k([rows[100], rows[5]]))
 
@@ -523,6 +550,15 @@ def test_top_k_of_large_products(spark):
     assert sorted(got) == sorted(brute.top_k(rows))
 
 
+def test_top_k_does_not_drop_or_clamp(spark):
+    near = [(100, [3e6] * 2), (1, [9e5] * 2), (2, [-1e6] * 2)]
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(spark.createDataFrame(near, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(got) == sorted(brute.top_k(near))
+    for rows in ([(100, [1.0]), (1, [1e18])], [(100, [5e15]), (1, [5e15])]):
+        with pytest.raises(Exception, match="does not fit a long"):
+            topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+
+
 def test_top_k_oracle(spark):
     from ..oracle import same
 
