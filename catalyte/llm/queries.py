@@ -22,7 +22,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    """Whether a document is held out of training; one without an id is not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

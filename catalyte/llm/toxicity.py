@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowest_by_hash, mix, slices, texts_of
+from .common import durable, lowest_by_hash, mix, range_hashes, slices, texts_of
 
 WORD = re.compile(r"\w+")
 NGRAMS = (3, 4, 5)
@@ -48,13 +48,7 @@ def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
                 value = value * np.uint64(0x100000001B3) + codes[at + k]
             ids.append(mix(value) % np.uint64(buckets))
             owner.append(np.repeat(np.arange(len(words)), many))
-        # the whole word
-        value = np.full(len(words), 1, np.uint64)
-        longest = int(lengths.max()) if len(lengths) else 0
-        for k in range(min(longest, 40)):
-            on = lengths > k
-            value[on] = value[on] * np.uint64(0x100000001B3) + codes[starts[on] + k]
-        ids.append(mix(value) % np.uint64(buckets))
+        ids.append(range_hashes(codes, starts, starts + lengths) % np.uint64(buckets))  # the whole word
         owner.append(np.arange(len(words)))
     ids, owner = np.concatenate(ids).astype(np.int64), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
@@ -84,11 +78,15 @@ def pooled(sums: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarra
     return (a[ends] - a[starts]) / np.maximum(b[ends] - b[starts], 1), starts
 
 
-def train(texts: list[str], labels: np.ndarray, dims: int = 8, buckets: int = 1 << 17, window: int = 4, rounds: int = 60, rate: float = 0.3, decay: float = 1e-4, least: int = 5, seed: int = 0) -> Model:
-    """Joint training of embeddings and softmax on labelled texts."""
+def train(texts: list[str], labels: np.ndarray, dims: int = 8, buckets: int = 1 << 17, window: int = 4, rounds: int = 60, rate: float = 0.3, decay: float = 1e-4, least: int | None = None, seed: int = 0) -> Model:
+    """Joint training of embeddings and softmax on labelled texts. Buckets that
+    fewer than ``least`` of them use are left out: by default a tenth of the rarer
+    label's texts, two at least and five at most."""
     if not len(labels) or labels.min() == labels.max() or not any(map(words_of, texts)):
         share = (labels.sum() + 0.5) / (len(labels) + 1)
         return Model(np.zeros(buckets, np.float32), float(np.log(share / (1 - share))), window)
+    if least is None:
+        least = int(np.clip(min(labels.sum(), len(labels) - labels.sum()) // 10, 2, 5))
     random = np.random.default_rng(seed)
     index: dict[str, int] = {}
     lists = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], np.int32) for t in texts]
@@ -153,7 +151,7 @@ def train(texts: list[str], labels: np.ndarray, dims: int = 8, buckets: int = 1
 class Scorer:
     """Scores texts with kept word sums (``limit`` words at most)."""
 
-    def __init__(self, model: Model, limit: int = 400_000):
+    def __init__(self, model: Model, limit: int = 200_000):
         self.model, self.limit, self.known = model, limit, {}
 
     def __call__(self, texts: list[str]) -> np.ndarray:
@@ -179,22 +177,25 @@ class Scorer:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int = 50_000) -> tuple[list[str], np.ndarray]:
-    """At most ``per_class`` labelled documents of each class, those of the
-    lowest hash, of at most ``longest`` characters: the bounded sample the model
-    is fitted on. A document labelled both ways is left out; each distinct
-    text counts once."""
+    """The bounded sample the model is fitted on: of the labelled documents of 1
+    to ``longest`` characters ``per_class`` of each class, those of the lowest
+    hash, or all where there are fewer. A document labelled both ways is left
+    out; each distinct text counts once, as toxic if any of its ids is."""
     own = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     one = own.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").select("doc_id", "toxic")
-    few = [lowest_by_hash(one.where(F.col("toxic") == c), "doc_id", per_class) for c in (0, 1)]
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.length("text").between(1, longest))
+    one = durable(one.join(texts.select("doc_id"), "doc_id", "left_semi"))
+    few = [lowest_by_hash(one.where(F.col("toxic") == c), "doc_id", per_class, "toxic") for c in (0, 1)]
     # at most twice per_class ids
-    rows = texts.join(F.broadcast(few[0].union(few[1])), "doc_id").where(F.length("text").between(1, longest)).collect()
+    rows = texts.join(F.broadcast(few[0].union(few[1])), "doc_id").collect()
     kept = {r["text"]: r["toxic"] for r in sorted(rows, key=lambda r: (r["toxic"], r["doc_id"], r["text"]))}
     return list(kept), np.array(list(kept.values()), np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model:
-    """The model for ``docs`` from the rows of ``labels`` (doc_id, toxic)."""
+    """The model for ``docs`` from the rows of ``labels`` (doc_id, toxic). Null,
+    empty and unlabelled texts teach nothing, repeated texts count once; with
+    labels of one kind or none the score is the bias."""
     return train(*labelled_texts(docs, labels, per_class))
 
 
@@ -209,7 +210,7 @@ def score(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
         scorer = kept[0] if kept else Scorer(shared.value)
         kept[:] = [scorer]
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 2 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer(texts_of(batch.column("text"))))], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, score double")
@@ -226,7 +227,7 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
         scorer = kept[0] if kept else Scorer(shared.value)
         kept[:] = [scorer]
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 2 << 20):
                 yield batch.filter(pa.array(scorer(texts_of(batch.column("text"))) < limit))
 
     return docs.mapInArrow(work, docs.schema)

@@ -10,6 +10,7 @@ that a rule decides are the labelled ones.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -45,8 +46,17 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
 # features and trees
 
 
+#: Host, path, query and fragment of a URL; the host ends as it does for rules.
+URL = re.compile(r"(?s).*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?(#.*)?")
+
+
+def parts(url: str) -> tuple[str, str, str, str]:
+    found = URL.fullmatch(url)
+    return tuple(x or "" for x in found.groups()) if found else ("", "", "", "")
+
+
 def suffixes(url: str) -> list[str]:
-    host = url.partition("://")[2].split("/")[0].split("?")[0].split("#")[0].lower()
+    host = parts(url)[0].lower()
     labels = host.split(".")
     return [".".join(labels[-n:]) for n in (1, 2, 3) if len(labels) >= n] if host else []
 
@@ -75,13 +85,12 @@ class SuffixStatistics:
 def features(urls: list[str], statistics: SuffixStatistics) -> np.ndarray:
     rows = []
     for url in urls:
-        host, _, rest = url.partition("://")[2].partition("/")
-        path, _, query = rest.partition("?")
+        host, path, query, fragment = parts(url)
         n = max(1, len(url))
         counts = Counter(url).values()
         entropy = -sum(c / n * math.log2(c / n) for c in counts)
         digits = sum(c.isdigit() for c in url)
-        rows.append([len(url), len(host), len(path), path.count("/"), host.count("."), host.count("-"), digits / n, entropy, query.count("&") + bool(query), query.count("="), "#" in url, url.startswith("https"), *statistics.of(url)])
+        rows.append([len(url), len(host), len(path), path.count("/"), host.count("."), host.count("-"), digits / n, entropy, query.count("&") + bool(query), query.count("="), bool(fragment), url.startswith("https"), *statistics.of(url)])
     return np.array(rows, np.float64).reshape(len(urls), 15)
 
 
@@ -147,8 +156,8 @@ class BoostedTrees:
 
 
 def train(labelled: DataFrame, rows: int = 20_000) -> tuple[SuffixStatistics, BoostedTrees]:
-    """Fits suffix statistics and trees on at most ``rows`` labelled URLs (url,
-    label: 1 to block), those of the lowest hash."""
+    """Fits suffix statistics and trees on at most ``rows`` distinct labelled URLs
+    (url, label: 1 to block), those of the lowest hash."""
     usable = labelled.select("url", F.col("label").cast("int")).where("url IS NOT NULL AND label IS NOT NULL")
     some = lowest_by_hash(usable, "url", rows, "label").collect()
     urls, labels = [r["url"] for r in some], np.array([r["label"] for r in some], np.float64)
@@ -181,11 +190,16 @@ def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, limi
     model = base.sparkSession.sparkContext.broadcast(train(labelled))
 
     @F.pandas_udf("double")
-    def probability(urls: pd.Series) -> pd.Series:
+    def probability(urls: pd.Series, decided: pd.Series) -> pd.Series:
         statistics, trees = model.value
-        return pd.Series(trees.probability(features([u or "" for u in urls], statistics)))
-
-    scored = ruled.withColumn("raw", probability("url"))
+        out = np.full(len(urls), np.nan)
+        rest = np.flatnonzero(~decided.to_numpy(bool))
+        out[rest] = trees.probability(features([urls.iloc[k] or "" for k in rest], statistics))
+        return pd.Series(out)
+
+    # A decided URL is sent without its text and gets no features.
+    open_url = F.when(F.col("by_rule").isNull(), F.col("url"))
+    scored = ruled.withColumn("raw", probability(open_url, F.col("by_rule").isNotNull()))
     return scored.select(
         "page_id",
         "host",

@@ -174,6 +174,60 @@ def test_toxicity_learns_and_shares_ngrams(spark, docs, none):
     assert sorted(r["doc_id"] for r in toxicity.keep_clean(docs, model).collect()) == sorted(d for d, r in got.items() if r["score"] < 0.7)
 
 
+def naive_score(model, text: str | None) -> float:
+    """The score of a text by the words of the docstring, one subword at a time."""
+    mask = (1 << 64) - 1
+
+    def spread(x):
+        x ^= x >> 33
+        x = x * 0xFF51AFD7ED558CCD & mask
+        x ^= x >> 33
+        x = x * 0xC4CEB9FE1A85EC53 & mask
+        return x ^ x >> 33
+
+    bags = []
+    for word in toxicity.WORD.findall((text or "").lower()):
+        codes = [ord(c) for c in f"<{word}>"]
+        ids = []
+        for n in (3, 4, 5):
+            for at in range(len(codes) - n + 1):
+                value = n
+                for c in codes[at : at + n]:
+                    value = (value * 0x100000001B3 + c) & mask
+                ids.append(spread(value))
+        ids.append(spread(sum((c + 1) * pow(common.BASE, k, 1 << 64) for k, c in enumerate(codes)) + len(codes) & mask))
+        bags.append([float(model.value[i % len(model.value)]) for i in ids])
+    best = []
+    for at in range(0, max(1, len(bags) - model.window // 2), model.window // 2):
+        some = [x for bag in bags[at : at + model.window] for x in bag]
+        best.append(sum(some) / max(1, len(some)) + model.bias)
+    margin = max(best) if bags else min(model.bias, 0.0)
+    return 1 / (1 + np.exp(-margin))
+
+
+def test_toxicity_query_against_naive_scores(spark):
+    docs, labels = (spark.read.parquet(f"{TINY}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.where(~queries.held_out()))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in queries.op2_toxicity(spark, TINY).collect():
+        assert r["score"] == pytest.approx(naive_score(model, texts[r["doc_id"]]), abs=1e-6)
+
+
+def test_toxicity_trains_on_all_of_a_word(spark):
+    """Words that differ after forty characters have buckets of their own; long
+    documents do not use up the places of others."""
+    a, b = toxicity.subwords(["x" * 60 + "a", "x" * 60 + "b"], 1 << 30)
+    assert a[: b[0]][-1] != a[b[0] :][-1]
+    rows = [(k, "long " * 20_000 if k < 40 else f"word{k} here") for k in range(60)]
+    labels = spark.createDataFrame([(k, 0) for k in range(60)], "doc_id long, toxic int")
+    texts, _ = toxicity.labelled_texts(spark.createDataFrame(rows, "doc_id long, text string"), labels, per_class=20)
+    assert sorted(texts) == sorted(t for _, t in rows[40:])
+
+
+def test_held_out_of_a_null_id(spark):
+    assert spark.createDataFrame([(None,)], "doc_id long").select(queries.held_out().alias("h")).first()["h"] is False
+
+
 def test_toxicity_of_one_class(spark, docs):
     labels = spark.createDataFrame([(3, 0), (4, 0), (4, 1), (None, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
@@ -290,6 +344,68 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.union(pages)).count() == 2 * len(URLS)
 
 
+def naive_trees(x, y, rounds, depth, rate, bins, ridge):
+    """Boosted trees, each split by trying every cut of every feature."""
+    cuts = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for j in range(x.shape[1])]
+    base = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    trees = []
+
+    def grow(rows, g, h, left):
+        best, most = None, 1e-9
+        if left and len(rows) > 1:
+            whole = g[rows].sum() ** 2 / (h[rows].sum() + ridge)
+            for j, own in enumerate(cuts):
+                for cut in own:
+                    low, high = rows[x[rows, j] <= cut], rows[x[rows, j] > cut]
+                    gain = sum(g[part].sum() ** 2 / (h[part].sum() + ridge) for part in (low, high)) - whole
+                    if gain > most + 1e-12:
+                        best, most = (j, cut), gain
+        if best is None:
+            return -rate * g[rows].sum() / (h[rows].sum() + ridge)
+        j, cut = best
+        return j, cut, grow(rows[x[rows, j] <= cut], g, h, left - 1), grow(rows[x[rows, j] > cut], g, h, left - 1)
+
+    def value(tree, row):
+        while isinstance(tree, tuple):
+            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    def margin(rows):
+        return np.array([base + sum(value(t, r) for t in trees) for r in rows])
+
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-margin(x)))
+        trees.append(grow(np.arange(len(y)), p - y, np.maximum(p * (1 - p), 1e-12), depth))
+    return lambda rows: 1 / (1 + np.exp(-margin(rows)))
+
+
+def test_trees_against_exhaustive_splits():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 4)).round(2)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 2] + 0.3 * rng.normal(size=150) < -0.2)).astype(np.float64)
+    trees = url_filter.BoostedTrees(rounds=6, depth=3, bins=8).fit(x, y)
+    naive = naive_trees(x, y, 6, 3, 0.3, 8, 1.0)
+    assert np.allclose(trees.probability(x), naive(x)) and np.allclose(trees.probability(x[::-1] + 0.05), naive(x[::-1] + 0.05))
+
+
+def test_verdicts_without_a_rule(spark):
+    """Every URL that no rule decides gets what the trees, trained again here, say."""
+    pages = spark.read.parquet(f"{TINY}/pages.parquet")
+    judged = url_filter.judge(pages)
+    decided = judged.where("rule IS NOT NULL").join(pages, "page_id").select("url", F.expr("CAST(verdict = 'block' AS INT)").alias("label"))
+    statistics, trees = url_filter.train(decided)
+    urls = {r["page_id"]: r["url"] for r in pages.collect()}
+    rest = judged.where("rule IS NULL").collect()
+    want = trees.probability(url_filter.features([urls[r["page_id"]] or "" for r in rest], statistics))
+    assert len(rest) and all(r["probability"] == pytest.approx(p, abs=1e-6) and r["verdict"] == ("block" if p >= 0.5 else "allow") for r, p in zip(rest, want, strict=True))
+
+
+def test_parts_of_urls():
+    assert url_filter.parts("http://A.b?x=1/y#z") == ("A.b", "", "x=1/y", "#z")
+    assert url_filter.parts("http://a.b/c#d?e") == ("a.b", "/c", "", "#d?e") and url_filter.parts("a.b/c") == ("", "", "", "")
+    assert url_filter.suffixes("http://A.b.c#x") == ["c", "b.c", "a.b.c"]
+
+
 def test_url_query(spark):
     check_urls(queries.op4_url_filter(spark, TINY).collect(), {r[0]: r[1] for r in spark.read.parquet(f"{TINY}/pages.parquet").select("page_id", "url").collect()})
 
@@ -524,8 +640,18 @@ def test_sample_shares(spark):
     for axis, shares in targets.items():
         for name, share in shares.items():
             assert sum(r["n_tokens"] for r in got if r[axis] == name) / total == pytest.approx(share, abs=0.03)
-    with pytest.raises(ValueError):
-        mixing.mix(spark.createDataFrame(rows, DOCS), max_cells=2)
+    key = lambda r: (r["source"], r["lang"], r["topic"])
+    few = spark.createDataFrame(rows[:300], DOCS)
+    for goal in (targets, None):
+        near, far = ({key(r): r["factor"] for r in mixing.mix(few, goal, driver_cells=cells).collect()} for cells in (1000, 2))
+        assert near.keys() == far.keys() and all(far[k] == pytest.approx(near[k], rel=1e-6) for k in near)
+
+
+def test_sample_takes_clashing_names(docs):
+    names = ["probability", "CELL_source", "cell_lang", "cell_topic", "cell_probability", "factor", "__source"]
+    kept = mixing.sample(docs.withColumns({c: F.lit(1) for c in names}))
+    assert kept.columns == [*docs.columns, *names]
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in mixing.sample(docs).collect())
 
 
 # ---------------------------------------------------------------- op8
@@ -586,6 +712,35 @@ def test_media(docs, none):
     assert media.media_columns(none).count() == 0
 
 
+def test_malformed_media_do_not_stop_a_job(spark):
+    good = bytearray(media.encode_payload(bytes(range(64)) * 3))
+    rng = random.Random(7)
+    rows = [(0, 0, good)]
+    frame = good.index(b"\xff\xc0")
+    zero = bytearray(good)
+    zero[frame + 11] = 0  # sampling factors
+    rows.append((1, 0, zero))
+    for k in range(2, 400):
+        bad = bytearray(good)
+        for _ in range(rng.randint(1, 4)):
+            bad[rng.randrange(len(bad))] = rng.choice([0, 1, 0x7F, 0xC1, 0xFF, rng.randrange(256)])
+        rows.append((k, 0, bad if k % 3 else bad[: rng.randrange(len(bad))]))
+    got = media.media_features(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()
+    assert len(got) == len(rows) and sum(r["payload_sha256"] is None for r in got) > 100
+
+
+def test_media_digests(spark, docs):
+    """What is reported of the stored form is what ``with_media`` stores."""
+    stored = {r["doc_id"]: bytes(r["media"]) for r in media.with_media(docs).collect()}
+    for r in media.media_columns(docs).collect():
+        data = stored[r["doc_id"]]
+        image = media.Jpeg(data)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+        grey, step = image._decode_any()[0][:, :, 0], int(image.quant[0][0])  # bit by bit, not by the fast path
+        small = np.array([[min(255, max(0, round(int(v) * step / 8 + 128))) for v in row] for row in grey], np.uint8)
+        assert r["feature"] == f"{image.width}x{image.height}:{media.thumbnail_hash(small)}:{zlib.crc32(small.tobytes()):08x}"
+
+
 def test_media_query(spark):
     check_media(queries.op9_media(spark, TINY).collect(), [tuple(r) for r in spark.read.parquet(f"{TINY}/documents.parquet").select("doc_id", "text").collect()])
 
