@@ -190,7 +190,9 @@ LONG, CARRIED = 512, 128
 #: Share of the pairs of just the similarity asked for that may share no block.
 MISSED = 0.001
 #: Members up to which all near pairs of a block are emitted.
-FEW = 24
+FEW = 8
+#: Bits of a parity sketch.
+PARITY = 2048
 
 
 def agreement(similarity: float) -> float:
@@ -231,6 +233,20 @@ def long_fingerprint(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """For each of ``PARITY`` buckets, whether it has an odd number of hashes. Two
+    sets differ in at least as many elements as their sketches do in bits."""
+    odd = np.bincount((hashes % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _sketches(batches):
+    for batch in batches:
+        sets = [np.asarray(x.values, np.int64).view(np.uint64) for x in batch.column("shingles")]
+        wide = [parity(s) for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(wide, pa.list_(pa.int64()))], names=["node", "n", "wide"])
+
+
 def _set_id(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes())
 
@@ -258,6 +274,9 @@ def _sets(shingle: int):
     return work
 
 
+BLOCKS = "block long, node long, x long, y long"
+
+
 def _blocks(positions: np.ndarray):
     """(block, node, x, y) for each row and block; x and y are the bits that
     travel along."""
@@ -302,20 +321,22 @@ def _apart(bits: np.ndarray, a, b) -> np.ndarray:
     return np.bitwise_count(bits[a] ^ bits[b]).sum(axis=-1, dtype=np.int64)
 
 
-def _pairs_of(a: list, b: list) -> pa.RecordBatch:
-    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64())], names=["a", "b", "dense"])
+def _pairs_of(a: list, b: list, d: list) -> pa.RecordBatch:
+    """Distinct pairs (a, b), the smaller first, and their distance."""
+    a, b, d = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b, d))
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), d], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([*(pa.array(both[:, k]) for k in range(3)), pa.nulls(len(both), pa.int64())], names=["a", "b", "d", "dense"])
 
 
-def _meet(most: int):
-    """(a, b): near pairs of each block, all of them among few members, else a
-    spanning forest; (dense): blocks in which pairs were left out."""
+def _meet(most: int, close: int):
+    """(a, b, d): pairs of each block at ``most`` differing bits, all of them among
+    few members, else a spanning forest of those at ``close`` bits; (dense):
+    blocks in which pairs were left out."""
 
     def work(batches):
         for block, node, x, y in _near_groups(batches, ("block", "node", "x", "y")):
             bits = np.stack([x, y], axis=1).view(np.uint64)
-            a, b, dense = [], [], []
+            a, b, d, dense = [], [], [], []
             cut = np.flatnonzero(np.diff(block)) + 1
             begin, end = np.append(0, cut), np.append(cut, len(block))
             size = np.repeat(end - begin, end - begin)
@@ -323,77 +344,83 @@ def _meet(most: int):
                 i = np.flatnonzero((block[:-gap] == block[gap:]) & (size[:-gap] <= FEW))
                 if not len(i):
                     break
-                i = i[(_apart(bits, i, i + gap) <= most) & (node[i] != node[i + gap])]
-                a.append(node[i])
-                b.append(node[i + gap])
+                off = _apart(bits, i, i + gap)
+                on = (off <= most) & (node[i] != node[i + gap])
+                a.append(node[i[on]])
+                b.append(node[i[on] + gap])
+                d.append(off[on])
             for i, j in zip(begin[end - begin > FEW].tolist(), end[end - begin > FEW].tolist(), strict=True):
                 pool, left_out = np.arange(i, j), False
                 while len(pool) > 1:
-                    todo, pool, members, links = [pool[0]], pool[1:], [pool[:1]], []
+                    todo, pool = [pool[0]], pool[1:]
                     while todo and len(pool):
                         at = todo.pop()
-                        hit = _apart(bits, pool, at) <= most
+                        off = _apart(bits, pool, at)
+                        hit = off <= close
+                        left_out |= bool((off <= most).any())
                         if hit.any():
-                            links.append((np.full(int(hit.sum()), node[at]), node[pool[hit]]))
-                            members.append(pool[hit])
+                            a.append(np.full(int(hit.sum()), node[at]))
+                            b.append(node[pool[hit]])
+                            d.append(off[hit])
                             todo.extend(pool[hit].tolist())
                             pool = pool[~hit]
-                    own = np.concatenate(members)
-                    if 2 < len(own) <= FEW:
-                        p, q = np.triu_indices(len(own), 1)
-                        near = _apart(bits, own[p], own[q]) <= most
-                        links = [(node[own[p[near]]], node[own[q[near]]])]
-                    left_out |= len(own) > FEW
-                    a += [u for u, _ in links]
-                    b += [v for _, v in links]
                 if left_out:
                     dense.append(block[i])
-            yield _pairs_of(a, b)
+            yield _pairs_of(a, b, d)
             if dense:
                 none = pa.nulls(len(dense), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(np.array(dense, np.int64))], names=["a", "b", "dense"])
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.array(dense, np.int64))], names=["a", "b", "d", "dense"])
 
     return work
 
 
-def _meet_apart(most: int):
-    """(a, b): every near pair of a block whose members have different roots."""
+def _meet_apart(most: int, similarity: float):
+    """(a, b, d): every pair of a block at ``most`` differing bits whose members
+    have different roots, but for those whose parity sketches show that their
+    sets are less similar."""
+    share = (1 - similarity) / (1 + similarity)
 
     def work(batches):
-        for block, node, x, y, root in _near_groups(batches, ("block", "node", "x", "y", "root")):
-            bits = np.stack([x, y], axis=1).view(np.uint64)
+        columns = ("block", "node", "x", "y", "root", "n")
+        for block, node, x, y, root, n, *wide in _near_groups(batches, (*columns, *(f"w{k}" for k in range(PARITY // 64)))):
+            bits, wide = np.stack([x, y], axis=1).view(np.uint64), np.stack(wide, axis=1).view(np.uint64)
             cut = np.flatnonzero(np.diff(block)) + 1
-            a, b, size = [], [], 0
+            a, b, d, size = [], [], [], 0
             for i, j in zip(np.append(0, cut).tolist(), np.append(cut, len(block)).tolist(), strict=True):
                 if (root[i:j] == root[i]).all():
                     continue
                 for at in range(i, j - 1):
                     rest = np.arange(at + 1, j)
                     rest = rest[root[rest] != root[at]]
-                    rest = rest[_apart(bits, rest, at) <= most]
+                    off = _apart(bits, rest, at)
+                    rest, off = rest[off <= most], off[off <= most]
+                    on = _apart(wide, rest, at) <= share * (n[rest] + n[at]) + 1e-9
+                    rest, off = rest[on], off[on]
                     if len(rest):
                         a.append(np.full(len(rest), node[at]))
                         b.append(node[rest])
+                        d.append(off)
                         size += len(rest)
                     if size > 1 << 20:
-                        yield _pairs_of(a, b)
-                        a, b, size = [], [], 0
-            yield _pairs_of(a, b)
+                        yield _pairs_of(a, b, d)
+                        a, b, d, size = [], [], [], 0
+            yield _pairs_of(a, b, d)
 
     return work
 
 
-def _dealt(own: DataFrame, positions: np.ndarray, chunk: int) -> DataFrame:
-    """(block, node, x, y): blocks of many members as pairs of chunks, each with
-    a block number of its own. Every 16th row shows which blocks have many; that
-    only decides how the work is dealt."""
-    schema = "block long, node long, x long, y long"
+def _hot(own: DataFrame, positions: np.ndarray, chunk: int) -> DataFrame:
+    """(block, parts): blocks of many members. Every 16th row shows which these
+    are; that only decides how the work is dealt."""
     share = max(1, min(16, chunk // 256))
-    some = own.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).mapInArrow(_blocks(positions), schema)
-    hot = some.groupBy("block").count().where(F.col("count") * share > chunk).select("block", F.ceil(F.col("count") * share / chunk).cast("int").alias("parts"))
-    hot = durable(hot)
-    keyed = own.mapInArrow(_blocks(positions), schema)
-    many = hot.count()
+    some = own.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).mapInArrow(_blocks(positions), BLOCKS)
+    return durable(some.groupBy("block").count().where(F.col("count") * share > chunk).select("block", F.ceil(F.col("count") * share / chunk).cast("int").alias("parts")))
+
+
+def _dealt(own: DataFrame, positions: np.ndarray, hot: DataFrame) -> DataFrame:
+    """(block, node, x, y): blocks of many members as pairs of chunks, each with
+    a block number of its own."""
+    keyed, many = own.mapInArrow(_blocks(positions), BLOCKS), hot.count()
     if not many:
         return keyed
     parts = F.coalesce("parts", F.lit(1))
@@ -413,9 +440,11 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     verified on the whole sets, so none is wrong; of pairs of just
     ``similarity`` about one in 200 shares no block, of closer ones hardly any.
 
-    Equal sets are collapsed first. Pairs are verified in two rounds: one for
-    each document, with the lowest that it met; then those that met and are not
-    in one component yet, in large blocks too. Null texts count as empty, and
+    Equal sets are collapsed first. Pairs are verified in rounds, so that a large
+    group does not cost all of its pairs: each document with the closest that it
+    met, then with the closest of another component, then what else was found
+    between components; last, in large blocks, all that is near and not in one
+    component yet. Null texts count as empty, and
     texts without words are alike; repeated rows stay; an empty table gives no
     rows. Up to ``broadcast_ids`` ids of documents that met others are broadcast
     (a counted size); more are joined by shuffle.
@@ -429,10 +458,11 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, chunk: int, broad
     rows = docs.select(F.col("doc_id").cast("long"), _text_key(docs).alias("key"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
     prints = durable(rows.mapInArrow(_signatures(shingle), "doc_id long, key long, node long, print binary"))
     own = durable(prints.groupBy("node", "print").agg(F.min("doc_id").alias("doc_id")))
-    positions, most = sampled_blocks(own.count(), similarity), allowed_bits(similarity)
-    dealt = _dealt(own.select("node", "print"), positions, chunk)
-    found = durable(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_meet(most), "a long, b long, dense long").distinct())
-    pairs = found.where("dense IS NULL").select("a", "b")
+    positions, most, close = sampled_blocks(own.count(), similarity), allowed_bits(similarity), int(CARRIED * (1 - agreement(similarity)))
+    hot, pair = _hot(own.select("node", "print"), positions, chunk), "a long, b long, d long, dense long"
+    dealt = _dealt(own.select("node", "print"), positions, hot)
+    found = durable(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_meet(most, close), pair).distinct())
+    pairs = found.where("dense IS NULL").select("a", "b", "d")
     met = durable(own.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "doc_id"))
     wanted = met.select("doc_id").distinct()
     wanted = F.broadcast(wanted) if met.count() <= broadcast_ids else wanted
@@ -447,19 +477,32 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, chunk: int, broad
     def apart(some: DataFrame, roots: DataFrame) -> DataFrame:
         for x in "ab":
             some = some.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")), x, "left")
-        return some.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+        return some.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b", "d")
+
+
+    def closest(some: DataFrame) -> DataFrame:
+        ways = some.select("a", "b", "d").union(some.select("b", "a", "d")).groupBy("a").agg(F.min(F.struct("d", "b")).alias("to"))
+        return ways.select(F.least("a", "to.b").alias("a"), F.greatest("a", "to.b").alias("b")).distinct()
 
-    links = verified(pairs.groupBy("b").agg(F.min("a").alias("a")))
+    links, roots = verified(closest(pairs)), None
+    for every in (False, True):  # between components: the closest of each, then all
+        roots = durable(connected_components(links))
+        rest = durable(apart(pairs, roots))
+        links = links.union(verified(rest.select("a", "b") if every else closest(rest)))
     roots = durable(connected_components(links))
-    rest = apart(pairs, roots)
-    dense = found.where("dense IS NOT NULL").select(F.col("dense").alias("block")).distinct()
+    dense = durable(found.where("dense IS NOT NULL").select(F.col("dense").alias("block")).distinct())
     if dense.head(1):
-        again = dealt.join(dense, "block").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        again = again.repartition("block").sortWithinPartitions("block").mapInArrow(_meet_apart(most), "a long, b long, dense long")
-        rest = rest.union(again.select("a", "b")).distinct()
-    more = verified(rest)
-    if more.head(1):
-        roots = connected_components(links.union(more))
+        # Only members that met others, in blocks with more than one component.
+        members = own.select("node", "print").join(met.select("node"), "node", "left_semi")
+        rooted = durable(met.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+        spread = durable(_dealt(members, positions, hot).join(dense, "block", "left_semi").join(rooted, "node"))
+        mixed = spread.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("block")
+        wide = [F.col("wide")[k].alias(f"w{k}") for k in range(PARITY // 64)]
+        sketches = durable(sets.mapInArrow(_sketches, "node long, n long, wide array<long>"))
+        again = spread.join(mixed, "block", "left_semi").join(sketches, "node").select("block", "node", "x", "y", "root", "n", *wide)
+        last = again.repartition("block").sortWithinPartitions("block").mapInArrow(_meet_apart(most, similarity), pair)
+        links = links.union(verified(last.select("a", "b").distinct()))
+        roots = durable(connected_components(links))
     classes = own.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return prints.select("doc_id", "key", "node").join(classes.select("node", "root").join(least, "root"), "node").select("doc_id", "key", "root", "component_id")

@@ -285,7 +285,7 @@ def _spans(min_words: int):
     return work
 
 
-def repeated_spans(docs: DataFrame, min_words: int = 50, seed_words: int = 20, hot: int = 8192) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = 50, seed_words: int = 20, hot: int = 32_768) -> DataFrame:
     """Every passage of ``min_words`` or more words that occurs in two or more
     documents: doc_id, start and n_words (in words), first_doc_id (the lowest
     doc_id that holds it), is_first.
@@ -315,7 +315,7 @@ def _cut(text: str, at: np.ndarray, min_words: int) -> str:
     return b"\n".join(raw[a:b] for a, b in zip(lead, tail, strict=True)).decode()
 
 
-def without_repeats(docs: DataFrame, min_words: int = 50, seed_words: int = 20, hot: int = 8192) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = 50, seed_words: int = 20, hot: int = 32_768) -> DataFrame:
     """``docs`` with every repeated passage left in the document of the lowest
     doc_id alone. Later copies of a whole text, and texts of which nothing is
     left, go; other columns stay as they are, whatever their names; n_chars, if

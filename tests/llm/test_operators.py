@@ -472,7 +472,7 @@ def test_spans_at_random(spark, seed):
     check_spans(suffix_dedup.repeated_spans(df, hot=3).collect(), rows)  # nearly every head is hot
     small = [(d, t) for d, t in rows if d < 30]
     few = spark.createDataFrame(small, "doc_id long, text string")
-    for hot in (8192, 6):
+    for hot in (32_768, 6):
         check_spans(suffix_dedup.repeated_spans(few, 12, 5, hot).collect(), small, 12)
 
 
@@ -484,7 +484,7 @@ def test_words_of_equal_hash_are_told_apart(spark):
     w = [f"w{k}" for k in range(120)]
     rows = [(1, " ".join([*w[:60], one, *w[60:]])), (2, " ".join([*w[:60], other, *w[60:]])), (3, " ".join([*w[20:60], one, *w[60:100]]))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for hot in (8192, 1):
+    for hot in (32_768, 1):
         check_spans(suffix_dedup.repeated_spans(df, hot=hot).collect(), rows)
 
 
