@@ -32,8 +32,16 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket ids of the n-grams of every word, and how many each word has."""
+def subwords(words: list[str], buckets: int, step: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket ids of the n-grams of every word, and how many each word has;
+    ``step`` words at a time, as each takes many times its own memory."""
+    parts = [_subwords(words[at : at + step], buckets) for at in range(0, len(words), step)]
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     padded = [f"<{w}>" for w in words]
     lengths = np.fromiter(map(len, padded), np.int64, len(padded))
     codes = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -50,9 +58,8 @@ def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
             owner.append(np.repeat(np.arange(len(words)), many))
         ids.append(range_hashes(codes, starts, starts + lengths) % np.uint64(buckets))  # the whole word
         owner.append(np.arange(len(words)))
-    ids, owner = np.concatenate(ids).astype(np.int64), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    return ids[order], np.bincount(owner, minlength=len(words)) if len(words) else np.zeros(0, np.int64)
+    ids, owner = np.concatenate(ids).astype(np.int32), np.concatenate(owner)
+    return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
 
 @dataclass
@@ -91,7 +98,6 @@ def train(texts: list[str], labels: np.ndarray, dims: int = 8, buckets: int = 1
     index: dict[str, int] = {}
     lists = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], np.int32) for t in texts]
     subs, counts = subwords(list(index), buckets)
-    subs = subs.astype(np.int32)
     first = np.cumsum(counts) - counts
     # Buckets that fewer than `least` documents use stay zero: what one document
     # alone shows is no evidence.
@@ -101,47 +107,65 @@ def train(texts: list[str], labels: np.ndarray, dims: int = 8, buckets: int = 1
         at = np.repeat(first[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
         spread[np.unique(subs[at])] += 1
     known = spread >= least
-    # Windows as ranges over all words of all documents.
-    flat = np.concatenate(lists)
-    begins, ends, doc, at = [], [], [], 0
+    # Windows as ranges over the words of some documents, about 200,000 at a time.
+    half, chunks, held = window // 2, [[]], 0
     for d, own in enumerate(lists):
-        starts = np.arange(0, max(1, len(own) - window // 2), window // 2)
-        begins.append(at + starts)
-        ends.append(at + np.minimum(starts + window, len(own)))
-        doc.append(np.full(len(starts), d))
-        at += len(own)
-    begins, ends, doc = np.concatenate(begins), np.concatenate(ends), np.concatenate(doc)
-    sums = np.concatenate([[0], np.cumsum(counts[flat])])
-    total = np.maximum(sums[ends] - sums[begins], 1).astype(np.float64)
-    doc_start = np.flatnonzero(np.diff(doc, prepend=-1))
+        if held > 200_000:
+            chunks.append([])
+            held = 0
+        chunks[-1].append(d)
+        held += len(own)
+
+    def ranges(docs: list[int]):
+        flat = np.concatenate([lists[d] for d in docs])
+        many = np.array([len(lists[d]) for d in docs])
+        starts = [np.arange(0, max(1, n - half), half) for n in many.tolist()]
+        count = np.array(list(map(len, starts)))
+        doc = np.repeat(np.arange(len(docs)), count)
+        base = np.repeat(np.cumsum(many) - many, count)
+        begins = np.concatenate(starts)
+        ends = np.minimum(begins + window, many[doc])
+        sums = np.concatenate([[0], np.cumsum(counts[flat])])
+        total = np.maximum(sums[base + ends] - sums[base + begins], 1)
+        return flat, (base + begins).astype(np.int32), (base + ends).astype(np.int32), doc.astype(np.int32), np.cumsum(count) - count, total.astype(np.int32), labels[docs]
+
+    parts = [ranges(docs) for docs in chunks]
+    del lists
     embed = random.normal(0, 0.1, (buckets, dims)) * known[:, None]
     weight = random.normal(0, 0.5, (dims, 2))
     bias = np.zeros(2)
     speed_e, speed_w, speed_b = np.full(buckets, 1e-8), np.full((dims, 2), 1e-8), np.full(2, 1e-8)
-    balance = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
+    balance = np.array([0.5 / (1 - labels.mean()), 0.5 / labels.mean()])
     for step in range(rounds):
         difference = weight[:, 1] - weight[:, 0]
-        per_bucket = embed @ difference
-        sums = np.concatenate([[0.0], np.cumsum(np.add.reduceat(per_bucket[subs], first)[flat])])
-        score = (sums[ends] - sums[begins]) / total + bias[1] - bias[0]
-        # Soft maximum over a document's windows, harder as training goes on.
+        per_bucket = (embed @ difference).astype(np.float32)
+        per_word, pull = np.zeros(len(index)), 0.0
+        word_score = np.add.reduceat(per_bucket[subs], first, dtype=np.float64)
         heat = 1.0 + 4.0 * step / rounds
-        top = np.maximum.reduceat(score, doc_start)
-        share = np.exp(heat * (score - top[doc]))
-        share /= np.add.reduceat(share, doc_start)[doc]
-        value = np.add.reduceat(share * score, doc_start)
-        gap = (1 / (1 + np.exp(-value)) - labels) * balance / len(labels)
-        g = gap[doc] * share  # gradient of each window's score
-        part = g / total
-        each = np.cumsum(np.bincount(begins, part, len(flat) + 1) - np.bincount(ends, part, len(flat) + 1))[:-1]
-        per_word = np.bincount(flat, each, len(index))
-        per_sub = np.bincount(subs, np.repeat(per_word, counts), buckets)
+        for flat, begins, ends, doc, doc_start, total, own in parts:
+            sums = np.concatenate([[0.0], np.cumsum(word_score[flat])])
+            score = (sums[ends] - sums[begins]) / total + bias[1] - bias[0]
+            # Soft maximum over a document's windows, harder as training goes on.
+            share = np.exp(heat * (score - np.maximum.reduceat(score, doc_start)[doc]))
+            share /= np.add.reduceat(share, doc_start)[doc]
+            value = np.add.reduceat(share * score, doc_start)
+            gap = (1 / (1 + np.exp(-value)) - own) * balance[own] / len(labels)
+            g = gap[doc] * share  # gradient of each window's score
+            pull += g.sum()
+            part = g / total
+            each = np.cumsum(np.bincount(begins, part, len(flat) + 1) - np.bincount(ends, part, len(flat) + 1))[:-1]
+            per_word += np.bincount(flat, each, len(index))
+        per_sub = np.zeros(buckets)
+        for a in range(0, len(index), 50_000):  # the words' subwords take far more memory than they
+            b = min(a + 50_000, len(index))
+            end = first[b] if b < len(index) else len(subs)
+            per_sub += np.bincount(subs[first[a] : end], np.repeat(per_word[a:b], counts[a:b]), buckets)
         grad_w = embed.T @ per_sub
         on = np.flatnonzero(known & (per_sub != 0))
         grad_e = per_sub[on, None] * difference + decay * embed[on]
         speed_e[on] += (grad_e**2).mean(axis=1)
         embed[on] -= rate * grad_e / np.sqrt(speed_e[on])[:, None]
-        for param, grad, speed in ((weight, np.stack([-grad_w, grad_w], axis=1), speed_w), (bias, np.array([-g.sum(), g.sum()]), speed_b)):
+        for param, grad, speed in ((weight, np.stack([-grad_w, grad_w], axis=1), speed_w), (bias, np.array([-pull, pull]), speed_b)):
             speed += grad**2
             param -= rate * grad / np.sqrt(speed)
     difference = weight[:, 1] - weight[:, 0]
