@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -109,7 +110,7 @@ def test_perplexity_is_textbook_kneser_ney(spark):
     for head in (0, 50, 1 << 19):
         model, counts, shards = quality.fit(t, head=head)
         d = spark.createDataFrame([(i, x, "en") for i, x in other], "doc_id long, text string, lang string").repartition(3)
-        got = {r["doc_id"]: r["perplexity"] for r in quality.perplexities(d, model, counts, shards, flush=500).collect()}
+        got = {r["doc_id"]: r["perplexity"] for r in quality.perplexities(d, model, counts, shards, flush=500, group_bytes=1 << 30 if head else 100).collect()}
         perplexity = brute.kneser_ney([quality.symbols(x, model.words).tolist() for _, x in trusted], quality.SIZE, quality.discounts)
         for i, x in other:
             want = perplexity(quality.symbols(x or "", model.words).tolist())
@@ -127,6 +128,63 @@ def test_quality_thresholds(spark, docs, none):
     assert {r["keep"] for r in untrained if r["n_tokens"]} == {True}
 
 
+def naive_symbols(text: str | None, sample: list[str]) -> list[int]:
+    """Symbols by the module's words: the 1,023 most frequent words of the sample
+    by the order of their hashes, other words by the hash of their last three
+    bytes."""
+    split = lambda t: [w for w in brute.words((t or "").lower())]
+    tally = Counter(w.decode() for t in sample for w in split(t))
+    code = lambda b: int(common.range_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0])
+    kept = sorted(code(w.encode()) for w, _ in sorted(tally.items(), key=lambda x: (-x[1], x[0]))[:1023])
+    place = {h: k + 1 for k, h in enumerate(kept)}
+    return [place.get(code(w)) or 1024 + code(w[-3:]) % 1024 for w in split(text)]
+
+
+def naive_discounts(counts: list[int]) -> list[float]:
+    n1, n2, n3, n4 = counts
+    y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5
+    raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 0.5, 3 - 4 * y * n4 / n3 if n3 else 0.5]
+    return [0.0, *(d if 0 < d < k else 0.5 for k, d in enumerate(raw, 1))]
+
+
+def test_quality_against_brute_force(spark):
+    """Every perplexity, threshold and decision, from the texts on."""
+    rng = random.Random(12)
+    vocabulary = [f"{rng.choice('abcdef')}{k}{rng.choice(['ing', 'ed', 's'])}" for k in range(1500)]
+    make = lambda: " ".join(rng.choices(vocabulary, weights=[1 / (k + 3) for k in range(1500)], k=rng.randint(5, 90)))
+    rows = [(k, make(), rng.choice(["en", "fr", "xx"] if k > 150 else ["en", "fr"])) for k in range(190)] + [(200, " ".join(rng.choices(vocabulary, k=60)), "en"), (201, None, "en"), (202, "", None)]
+    labels = [(k, 1) for k in range(150)] + [(k, 0) for k in range(140, 160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: r for r in quality.classify(df, spark.createDataFrame(labels, "doc_id long, quality int"), quantile=0.9, least=1).collect()}
+    out = {r["d"] for r in spark.range(140).select(F.col("id").alias("d"), F.pmod(F.xxhash64(F.col("id"), F.lit(11)), F.lit(10)).alias("m")).where("m = 0").collect()}
+    texts = {d: t for d, t, _ in rows}
+    train = [texts[d] for d in range(140) if d not in out]
+    assert 5 < len(out) < 30
+    perplexity = brute.kneser_ney([naive_symbols(t, train) for t in train], 2048, naive_discounts)
+    want = {d: perplexity(naive_symbols(t, train)) for d, t in texts.items()}
+    cut = lambda values: sorted(values)[max(1, int(np.ceil(0.9 * len(values)))) - 1]
+    limits = {lang: cut([want[d] for d, _, own in rows if d in out and own == lang]) for lang in ("en", "fr")}
+    for d, _, lang in rows:
+        limit = limits.get(lang) or cut([want[x] for x in out])
+        r = got[d]
+        assert r["threshold"] == pytest.approx(limit, rel=1e-4)
+        if want[d] is None:
+            assert r["perplexity"] is None and not r["keep"]
+        else:
+            assert r["perplexity"] == pytest.approx(want[d], rel=1e-4)
+            if abs(want[d] / limit - 1) > 1e-3:
+                assert r["keep"] == (want[d] < limit)
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(2)
+    for n, q in ((1, 0.99), (7, 0.5), (30_000, 0.99), (5000, 1.0)):
+        values = rng.normal(size=n).round(3)  # ties
+        df = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 1.0)] * 3, "k string, v double").repartition(4)
+        got = {r["k"]: (r["n"], r["limit"]) for r in quality.exact_quantiles(df, "k", "v", q).collect()}
+        assert got == {"a": (n, float(np.sort(values)[max(1, int(np.ceil(q * n))) - 1])), "b": (3, 1.0)}
+
+
 def test_quality_of_the_test_table(spark):
     scored = queries.op1_quality(spark, TINY).join(spark.read.parquet(f"{TINY}/labels.parquet"), "doc_id")
     assert scored.where("quality = 1").agg(F.avg(F.col("keep").cast("int"))).first()[0] > 0.9
