@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from .durability import durable
 
 
 def keep_one(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -59,6 +60,39 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, stamp: str, may_upda
     return o.join(n, key, "full_outer").withColumn("kind", kind).where("kind IS NOT NULL").select(key, "kind", "old_stamp", "new_stamp")
 
 
+def snapshot_changes(old: DataFrame, new: DataFrame, key: str, stamp: str, may_update: Column | None = None) -> DataFrame:
+    """``snapshot_diff`` with the rules of a first run: without an old snapshot
+    there is no difference, only a baseline; without old stamps nothing counts as
+    updated."""
+    had = old.agg((F.count(key) > 0).alias("__keys"), (F.count(stamp) > 0).alias("__stamps"))  # one row
+    found = snapshot_diff(old, new, key, stamp, may_update).join(F.broadcast(had), F.lit(True))
+    return found.where(F.col("__keys") & (F.col("__stamps") | (F.col("kind") != "updated"))).drop("__keys", "__stamps")
+
+
+def change_report(changes: DataFrame, key: str, listed: int = 50, mass: int = 200) -> DataFrame:
+    """(kind, n, listed, more, mass_churn): how many changes of each kind, the
+    first ``listed`` keys, how many there are beyond; over ``mass`` updates are
+    wholesale churn and none is listed."""
+    # each task keeps the smallest keys only
+    part = changes.groupBy("kind", F.pmod(F.xxhash64(key), F.lit(64)).alias("p")).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(key)), 1, listed).alias("few"))
+    whole = part.groupBy("kind").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("few"))), 1, listed).alias("few"))
+    churn = (F.col("kind") == "updated") & (F.col("n") > mass)
+    shown = F.array_join(F.transform("few", lambda x: x.cast("string")), ",")
+    return whole.select("kind", "n", F.when(churn, "").otherwise(shown).alias("listed"), F.greatest(F.col("n") - listed, F.lit(0)).alias("more"), churn.alias("mass_churn"))
+
+
+def merge_owned(current: DataFrame, fetched: DataFrame, owned: Column) -> DataFrame:
+    """Rows of keys that the fetcher owns come from ``fetched``, all others from
+    ``current``: what somebody else put there stays."""
+    return current.where(~owned).unionByName(fetched.where(owned))
+
+
+def one_a_day(log: DataFrame, day: str, taken: DataFrame, most: int) -> DataFrame:
+    """Days of ``log`` that have no entry in ``taken`` yet, each once, the latest
+    ``most`` of them."""
+    return log.select(day).where(F.col(day).isNotNull()).distinct().join(taken.select(day), day, "left_anti").orderBy(F.desc(day)).limit(most)
+
+
 def work_plan(targets: DataFrame, records: DataFrame, stamps: DataFrame, abandoned: DataFrame, key: str) -> DataFrame:
     """(key, reason): missing, then errored, then stale targets, without the
     abandoned ones. ``records`` has error, harvested_at, stored_stamp;
@@ -99,25 +133,29 @@ def changed_rows(df: DataFrame, manifest: DataFrame, key: str, content: Column)
     return hashed.join(manifest.select(key, "sha"), [key, "sha"], "left_anti")
 
 
-def systematic_sample(df: DataFrame, order: list[str], size: int) -> DataFrame:
-    """Every floor(n / size)-th row in order, the first ``size`` of them. Rows
-    are numbered within ranges, so no single task sorts all of them."""
+def numbered(df: DataFrame, order: list, name: str = "rn") -> DataFrame:
+    """``df`` with row numbers in ``order``. Rows are numbered within ranges, so
+    no single task sorts all of them; the ranges are written first, as two plans
+    of one range partitioning may cut it differently."""
     spark = df.sparkSession
-    n = df.count()
-    step = max(1, n // size)
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    sizes = {r["__part"]: r["count"] for r in ranged.groupBy("__part").count().collect()}
+    ranged = durable(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = {r["__part"]: r["count"] for r in ranged.groupBy("__part").count().collect()}  # one row a range
     starts, total = [], 0
     for part in sorted(sizes):
         starts.append((part, total))
         total += sizes[part]
     if not starts:
-        return df.limit(0).withColumn("rn", F.lit(0).cast("long"))
+        return df.limit(0).withColumn(name, F.lit(0).cast("long"))
     before = F.broadcast(spark.createDataFrame(starts, "__part int, __before long"))
     local = Window.partitionBy("__part").orderBy(*order)
-    numbered = ranged.join(before, "__part").withColumn("rn", F.row_number().over(local) + F.col("__before"))
+    return ranged.join(before, "__part").withColumn(name, F.row_number().over(local) + F.col("__before")).drop("__part", "__before")
+
+
+def systematic_sample(df: DataFrame, order: list[str], size: int) -> DataFrame:
+    """Every floor(n / size)-th row in order, the first ``size`` of them."""
+    step = max(1, df.count() // size)
     wanted = ((F.col("rn") - 1) % step == 0) & (F.floor((F.col("rn") - 1) / step) < size)
-    return numbered.where(wanted).drop("__part", "__before")
+    return numbered(df, order).where(wanted)
 
 
 def quota_sample(df: DataFrame, stratum: str, order: list[Column], quota: int) -> DataFrame:

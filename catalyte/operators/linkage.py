@@ -7,25 +7,16 @@ and full containment is verified on the arrays.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .durability import durable
+from .keyed import numbered
 
 MAX_STORED, MIN_SHARE = 25, 0.5
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage, in the folder that ``spark.checkpoint.dir``
-    names or else a temporary one."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="catalyte-ckpt-"))
-    return df.checkpoint()
-
-
 def postings(entries: DataFrame, key: str, words: str) -> DataFrame:
     """The inverted index (token, key)."""
     return entries.select(F.explode(F.array_distinct(words)).alias("token"), F.col(key))
@@ -59,6 +50,47 @@ def family_filters(q: str = "q", e: str = "e") -> Column:
     return same("derivation") & same("negations") & unit & head
 
 
+def without_category(df: DataFrame, phrase: str, floor: int = 2) -> DataFrame:
+    """``df`` with its phrase cut of a leading category, and that category (else
+    ""). A head before a colon is a category if ``floor`` rows have it and words
+    are left after it."""
+    heads = df.select(T.category_head(F.col(phrase)).alias("__head")).where("__head IS NOT NULL").groupBy("__head").agg(F.count("*").alias("__n")).where(F.col("__n") >= floor)
+    tail = T.category_tail(F.col(phrase))
+    j = df.withColumn("__head", T.category_head(F.col(phrase))).join(heads, "__head", "left")
+    cut = F.col("__n").isNotNull() & (F.size(T.content_words(tail)) > 0)
+    named = F.when(cut, F.trim(F.regexp_extract(phrase, T.CATEGORY, 1))).otherwise("")
+    return j.withColumns({phrase: F.when(cut, tail).otherwise(F.col(phrase)), "category": named}).drop("__head", "__n")
+
+
+def described(df: DataFrame, phrase: str, unit: Column, side: str) -> DataFrame:
+    """``df`` with what the family filters compare, columns prefixed ``side``:
+    words, normal title, derivation, negations, units (null where none is
+    given), and the first word."""
+    c = F.col(phrase)
+    return df.withColumns(
+        {
+            f"{side}_tokens": T.content_words(c),
+            f"{side}_norm": T.norm_title(T.strip_unit(c)),
+            f"{side}_derivation": T.derivation_markers(c),
+            f"{side}_negations": T.negations(c),
+            f"{side}_units": F.when(F.coalesce(unit, F.lit("")) != "", T.unit_markers(unit)),
+            f"{side}_head": T.head_word(c),
+        }
+    )
+
+
+def filtered_families(queries: DataFrame, entries: DataFrame, key: str, member: str, local_area: str, levels: list[str]) -> DataFrame:
+    """The ranked family of each query: entries that hold all its words, agree in
+    derivation, negations, unit (if it names one) and first word, and reach its
+    area; exact titles first, then the fewest words beyond. ``queries`` and
+    ``entries`` come from ``described``, with q_area and e_geo."""
+    pairs = containment_pairs(queries, entries, key, member)
+    full = pairs.join(queries, key).join(entries, member)
+    # An entry without a unit disagrees with a query that has one.
+    kept = full.withColumn("e_units", F.coalesce("e_units", F.array().cast("array<string>"))).where(family_filters() & geography_ok(F.col("q_area"), F.col("e_geo"), local_area, levels))
+    return ranked_family(kept.withColumn("exact", F.col("q_norm") == F.col("e_norm")), key, [F.col("exact").desc(), F.col("extra"), F.col("e_norm"), F.col(member)])
+
+
 def ranked_family(pairs: DataFrame, query_key: str, order: list[Column]) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(*order)))
 
@@ -66,7 +98,10 @@ def ranked_family(pairs: DataFrame, query_key: str, order: list[Column]) -> Data
 def mode_share(rows: DataFrame, keys: list[str], value: str, position: str, name: str) -> DataFrame:
     """Per key the most frequent value (of equals the one seen first) and its
     share; the value is withheld under half."""
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(position).alias("p"))
+    return _mode(rows.groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(position).alias("p")), keys, value, name)
+
+
+def _mode(counts: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     out = counts.groupBy(*keys).agg(F.max_by(value, F.struct("n", -F.col("p"))).alias("v"), F.max("n").alias("n"), F.sum("n").alias("all"))
     share = F.bround(F.col("n") / F.col("all"), 3)
     return out.select(*keys, F.when(F.col("n") / F.col("all") >= MIN_SHARE, F.col("v")).alias(name), share.alias(f"{name}_share"))
@@ -118,6 +153,43 @@ def route_by_head(queries: DataFrame, entries: DataFrame, key: str, member: str)
     )
 
 
+def head_summary(queries: DataFrame, entries: DataFrame, key: str, member: str, stored: int = MAX_STORED) -> DataFrame:
+    """One row for every query: its family by exact head and unopposed tail, in
+    catalogue order. ``queries`` has head, tail (array), norm and filter,
+    ``entries`` head, tail, position, norm, themes (array), start and end.
+
+    Theme, periods and counts cover the whole family, only the list of members is
+    cut at ``stored``. The filter is what the query asks for and nobody checked:
+    filter_resolved is false.
+    """
+    met = head_matches(queries, entries.withColumnRenamed("norm", "e_norm"), key).where("NOT vetoed").join(queries.select(key, "norm"), key)
+    exact = F.col("norm") == F.col("e_norm")
+    periods = F.when(F.coalesce(F.col("start").cast("string"), F.lit("")) != "", F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string")))
+    base = met.groupBy(key).agg(F.count("*").alias("n_candidates"), F.count_if(exact).alias("n_exact"), F.array_join(F.array_sort(F.collect_set(periods)), ",").alias("period"))
+    first = met.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("position", member))).where(F.col("rank") <= stored)
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda s: s["m"]), ",")
+    entry = F.struct("rank", F.col(member).cast("string").alias("m"))
+    lists = first.groupBy(key).agg(listed(entry).alias("candidates"), listed(F.when(exact, entry)).alias("exact_title"))
+    named = met.select(key, "position", F.posexplode("themes").alias("at", "theme")).where("theme <> ''").groupBy(key, "theme").agg(F.count("*").alias("n"), F.min(F.struct("position", "at")).alias("p"))
+    themes = named.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), "p", "theme")).alias("t"))
+    j = queries.select(key, "filter").join(base, key, "left").join(lists, key, "left").join(themes, key, "left")
+    found = F.col("n_candidates").isNotNull()
+    return j.select(
+        key,
+        "candidates",
+        F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
+        F.coalesce(F.col("n_candidates") > stored, F.lit(False)).alias("truncated"),
+        "exact_title",
+        F.coalesce("n_exact", F.lit(0)).alias("n_exact"),
+        F.when(found, F.coalesce("t.theme", F.lit(""))).alias("theme"),
+        F.when(found, F.bround(F.coalesce(-F.col("t.n"), F.lit(0)) / F.col("n_candidates"), 3)).alias("theme_share"),
+        "period",
+        "filter",
+        F.when(found, False).alias("filter_resolved"),
+        F.when(F.col("n_exact") > 0, "exact").when(F.col("n_candidates") == 1, "single").when(found, "family").alias("confidence"),
+    )
+
+
 def best_containment(queries: DataFrame, entries: DataFrame, query_key: str, entry_key: str) -> DataFrame:
     """Per query the entries with the largest share of its words, ties kept:
     query_key, entry_key, shared, share."""
@@ -144,23 +216,38 @@ def candidate_edges(names: DataFrame, pool: DataFrame, max_extra: int = 2) -> Da
     return full.union(head).union(near).groupBy("name", "id").agg(F.min("pos").alias("pos"), F.min("extra").alias("extra"))
 
 
-def injective_match(edges: DataFrame, overrides: dict[str, int] | None = None, limit: int = 100_000) -> DataFrame:
+def injective_match(edges: DataFrame, overrides: dict[str, int] | None = None) -> DataFrame:
     """(name, id): each name and each id at most once. Overrides first, then
-    edges by fewest extra words, then name descending, then position.
+    edges by fewest extra words, then name descending, then position, then id.
 
-    Greedy by nature: the driver assigns over at most ``limit`` edges, a number
-    that is checked.
+    Greedy: an edge that comes first among all those of its name and of its id is
+    taken whatever the rest do. Each round takes all such edges and drops what
+    they exclude; the first edge of all is one, so the rounds end, with the result
+    of walking the edges one by one.
     """
-    rows = edges.orderBy("extra", F.desc("name"), "pos").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"over {limit} candidate edges")
-    out = dict(overrides or {})
-    used = set(out.values())
-    for r in rows:
-        if r["name"] not in out and r["id"] not in used:
-            out[r["name"]] = r["id"]
-            used.add(r["id"])
-    return edges.sparkSession.createDataFrame(sorted(out.items()) or [], "name string, id long")
+    spark = edges.sparkSession
+    fixed = spark.createDataFrame(sorted((overrides or {}).items()), "name string, id long")
+    open_edges = edges.join(F.broadcast(fixed.select("name")), "name", "left_anti").join(F.broadcast(fixed.select("id")), "id", "left_anti")
+    # A name counts backwards: its place among the names is what is compared.
+    names = numbered(open_edges.select("name").distinct(), [F.desc("name")], "place")
+    place = F.struct("extra", "place", "pos", "id")
+    now, taken = durable(open_edges.select("name", "id", "extra", "pos").join(names, "name").withColumn("at", place)), []
+    while now.head(1):
+        by_name, by_id = (now.groupBy(c).agg(F.min("at").alias(f"{c}_first")) for c in ("name", "id"))
+        both = now.join(by_name, "name").join(by_id, "id").where("at = name_first AND at = id_first").select("name", "id")
+        taken.append(durable(both))
+        now = durable(now.join(taken[-1].select("name"), "name", "left_anti").join(taken[-1].select("id"), "id", "left_anti"))
+    out = fixed
+    for some in taken:
+        out = out.union(some)
+    return out
+
+
+def scoped_edges(names: DataFrame, pool: DataFrame, scope: str, max_extra: int = 2) -> DataFrame:
+    """``candidate_edges`` within groups: a name keeps the edges to the pool of its
+    ``scope``."""
+    found = candidate_edges(names.select("name").distinct(), pool.select("id", "pos", "pool_name"), max_extra)
+    return found.join(names.select("name", scope).distinct(), "name").join(pool.select("id", scope), ["id", scope], "left_semi").select("name", "id", "pos", "extra")
 
 
 def nearest(names: DataFrame, pool: DataFrame, k: int = 3) -> DataFrame:
@@ -178,9 +265,11 @@ def token_carriers(rows: DataFrame, key: str, title: str, theme: str, words: str
     theme; digits and rare words left out. ``rows`` needs a unique, ordered
     ``key``."""
     spread = rows.select(F.col(key).alias("__k"), F.col(title).alias("__t"), F.col(theme).alias("theme"), F.explode(words).alias("token")).where(~F.col("token").rlike("^[0-9]+$"))
-    totals = spread.groupBy("token").agg(F.count("*").alias("series"), F.count_distinct("__t").alias("titles")).where(F.col("series") >= floor)
-    themes = mode_share(spread.join(totals.select("token"), "token", "left_semi"), ["token"], "theme", "__k", "theme")
-    return totals.join(themes, "token")
+    # The words of all texts are spread and shuffled once; both sides read this.
+    seen = durable(spread.groupBy("token", "theme", "__t").agg(F.count("*").alias("n"), F.min("__k").alias("p")))
+    totals = seen.groupBy("token").agg(F.sum("n").alias("series"), F.count_distinct("__t").alias("titles")).where(F.col("series") >= floor)
+    counts = seen.groupBy("token", "theme").agg(F.sum("n").alias("n"), F.min("p").alias("p"))
+    return totals.join(_mode(counts, ["token"], "theme", "theme"), "token")
 
 
 def absent_concepts(carriers: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gzip
-import html as html_lib
 import re
 import unicodedata
 from html.parser import HTMLParser
@@ -25,15 +24,26 @@ REVISION_LEAD = r"(?s)^.*?(?:\d{4}-\d{2}-\d{2}|actualiza[^:]*:)\s*"
 REVISION_MIN, REVISION_MAX = 25, 240
 QUESTION_MIN, QUESTION_MAX = 15, 240
 LEAF_MAX = 400
+STOP_NAMES = {"simbologia", "exportar dados", "pdf", "excel", "todas", "videos", "livros", "quadro resumo", "quadros resumo"}
+NAME_MIN, SUBTITLE_MIN = 10, 5
+TITLE_TAG = r"(?s)<title[^>]*>(.*?)</title>"
+HEADING_TAG = r"(?is)<h2[^>]*>(.*?)</h2>"
+YEAR_SHOWN = r'(?i)class="[^"]*Year(?:Current|Other)Text[^"]*"[^>]*>\s*(\d{4})\s*<'
+YEAR_PICKED = r'(?i)<option[^>]+value="(\d{4})"'
+LINKED_DATA = r"(?s)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"
+DESCRIPTION = r'<meta\s+name="description"\s+content="([^"]*)"'
+SOURCES = r"Fontes?\s*/\s*Entidades:?\s*(.{1,250})"
+UPDATED = r"[ÚU]ltima\s+a[ct]+ualiza[çc][ãa]o:?\s*([0-9]{4}-[0-9]{2}-[0-9]{2})"
+UPDATED_LOOSE = r"[ÚU]ltima\s+a[ct]+ualiza[çc][ãa]o:?\s*(.{1,30})"
 
 
 def title_of(html: Column) -> Column:
-    return F.trim(T.unescape(F.regexp_extract(html, r"(?s)<title[^>]*>(.*?)</title>", 1)))
+    return F.trim(T.unescape(F.regexp_extract(html, TITLE_TAG, 1)))
 
 
 def question_of(html: Column) -> Column:
     """The first second-level heading that reads as a question, or ""."""
-    found = F.regexp_extract_all(T.unicode_digits(html), F.lit(r"(?is)<h2[^>]*>(.*?)</h2>"), 1)
+    found = F.regexp_extract_all(T.unicode_digits(html), F.lit(HEADING_TAG), 1)
     clean = lambda x: F.regexp_replace(T.collapse(T.unescape(F.regexp_replace(x, r"<[^>]+>", " "))), r"\s+([?!.,;:])", "$1")
     good = F.filter(F.transform(found, clean), lambda x: x.endswith("?") & F.length(x).between(QUESTION_MIN, QUESTION_MAX))
     return F.coalesce(F.try_element_at(good, F.lit(1)), F.lit(""))
@@ -41,8 +51,8 @@ def question_of(html: Column) -> Column:
 
 def years_of(html: Column) -> Column:
     """Years named in year elements, else those of the year picker."""
-    shown = F.regexp_extract_all(html, F.lit(r'(?i)class="[^"]*Year(?:Current|Other)Text[^"]*"[^>]*>\s*(\d{4})\s*<'), 1)
-    picker = F.regexp_extract_all(html, F.lit(r'(?i)<option[^>]+value="(\d{4})"'), 1)
+    shown = F.regexp_extract_all(html, F.lit(YEAR_SHOWN), 1)
+    picker = F.regexp_extract_all(html, F.lit(YEAR_PICKED), 1)
     return F.transform(F.when(F.size(shown) > 0, shown).otherwise(picker), lambda y: y.cast("int"))
 
 
@@ -52,7 +62,7 @@ def period_of(html: Column) -> Column:
 
 def json_ld_of(html: Column) -> Column:
     """The linked-data object, or {"unparsed": …} with its first 800 characters."""
-    raw = F.regexp_extract(html, r"(?s)<script[^>]+application/ld\+json[^>]*>(.*?)</script>", 1)
+    raw = F.regexp_extract(html, LINKED_DATA, 1)
     fallback = F.to_variant_object(F.named_struct(F.lit("unparsed"), F.substring(raw, 1, 800)))
     return F.when(raw != "", F.coalesce(F.try_parse_json(raw), fallback))
 
@@ -65,27 +75,27 @@ def lines_of(html: Column) -> Column:
 
 
 def record_of(pages: DataFrame, url: str, html: str, suffix: str, prefixes: list[str], today: str) -> DataFrame:
-    """Harvest fields of each page; a value that fails its shape becomes "" and
-    adds a warning."""
-    h, body = F.col(html), T.page_text(F.col(html))
+    """Harvest fields of each page. A field is a value, the shape it must have,
+    and the warning that stands for it where it has another and becomes ""."""
+    h, body, always = F.col(html), T.page_text(F.col(html)), F.lit(True)
     title = title_of(h)
     name = T.name_from_title(title, suffix, prefixes)
-    raw_sources = T.clean_sources(F.regexp_extract(body, r"Fontes?\s*/\s*Entidades:?\s*(.{1,250})", 1))
-    updated = F.regexp_extract(body, r"[ÚU]ltima\s+a[ct]+ualiza[çc][ãa]o:?\s*([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)
-    good_sources = (raw_sources == "") | T.plausible_sources(raw_sources)
-    good_date = (updated == "") | D.valid_date(updated, today)
-    warn = F.array_compact(F.array(F.when((title != "") & (name == ""), "title_template"), F.when(~good_sources, "fontes_shape"), F.when(~good_date, "date_shape")))
-    return pages.select(
-        F.col(url).alias("url"),
-        name.alias("name"),
-        title.alias("title"),
-        F.regexp_extract(h, r'<meta\s+name="description"\s+content="([^"]*)"', 1).alias("description"),
-        F.when(good_sources, raw_sources).otherwise("").alias("fontes"),
-        F.when(good_date, updated).otherwise("").alias("ultima_atualizacao"),
-        question_of(h).alias("question"),
-        period_of(h).alias("period"),
-        warn.alias("parse_warnings"),
-    )
+    sources = T.clean_sources(F.regexp_extract(body, SOURCES, 1))
+    # A date of another shape is caught too, so that it warns.
+    updated = F.coalesce(F.nullif(F.regexp_extract(body, UPDATED, 1), F.lit("")), F.trim(F.regexp_extract(body, UPDATED_LOOSE, 1)))
+    fields = {
+        "url": (F.col(url), always, None),
+        "name": (name, (title == "") | (name != ""), "title_template"),
+        "title": (title, always, None),
+        "description": (F.regexp_extract(h, DESCRIPTION, 1), always, None),
+        "fontes": (sources, (sources == "") | T.plausible_sources(sources), "fontes_shape"),
+        "ultima_atualizacao": (updated, (updated == "") | F.coalesce(D.valid_date(updated, today), F.lit(False)), "date_shape"),
+        "question": (question_of(h), always, None),
+        "period": (period_of(h), always, None),
+    }
+    plain = [(c if label is None else F.when(good, c).otherwise("")).alias(k) for k, (c, good, label) in fields.items()]
+    warned = F.array_compact(F.array(*(F.when(~good, label) for _, good, label in fields.values() if label)))
+    return pages.select(*plain, warned.alias("parse_warnings"))
 
 
 # --------------------------------------------------------------------------
@@ -162,48 +172,66 @@ def marker_counts(text: Column, markers: dict[str, str]) -> list[Column]:
 # structure walks (one row to many)
 
 
-class _Leaves(HTMLParser):
-    VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+class _Elements(HTMLParser):
+    """The text of every element: what stands in it directly and in the inline
+    elements within it, in order, so that inline markup does not cut a sentence.
+    An end tag without its start is passed over; one that ends several unclosed
+    elements ends them all."""
+
+    VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
     SKIP = frozenset(("script", "style", "noscript", "svg", "template"))
-    INLINE = frozenset("a abbr b em i small span strong sub sup u".split())
+    INLINE = frozenset("a abbr b bdi bdo cite code em i kbd mark q s samp small span strong sub sup time u var".split())
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str]] = []
-        self.skip = 0
+        self.open: list[tuple[str, str, bool, list[str]]] = []  # tag, label, hidden, texts
         self.found: list[tuple[str, str]] = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.VOID:
-            return
-        self.stack.append((tag, (dict(attrs).get("class") or "").split(" ")[0]))
-        self.skip += tag in self.SKIP
+        if tag not in self.VOID:
+            label = ".".join([tag, *(dict(attrs).get("class") or "").split()[:1]])
+            hidden = tag in self.SKIP or bool(self.open and self.open[-1][2])
+            self.open.append((tag, label, hidden, []))
+
+    def handle_startendtag(self, tag, attrs):
+        pass
 
     def handle_endtag(self, tag):
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                self.skip -= sum(t in self.SKIP for t, _ in self.stack[at:])
-                del self.stack[at:]
-                return
+        if any(x[0] == tag for x in self.open):
+            while self._end() != tag:
+                pass
 
     def handle_data(self, data):
-        text = " ".join(data.split())
-        if not text or self.skip:
-            return
-        holder = next((x for x in reversed(self.stack) if x[0] not in self.INLINE), ("", ""))
-        self.found.append((".".join(x for x in holder if x) or "-", re.sub(r"\d", "#", text[:LEAF_MAX])))
+        if self.open and data.strip():
+            self.open[-1][3].append(" ".join(data.split()))
+
+    def close(self):
+        super().close()
+        while self.open:
+            self._end()
+
+    def _end(self) -> str:
+        tag, label, hidden, texts = self.open.pop()
+        text = " ".join(texts)
+        if text and not hidden:
+            if len(text) <= LEAF_MAX:  # longer ones are prose, no field
+                self.found.append((label, re.sub(r"\d", "#", text)))
+            if tag in self.INLINE and self.open:
+                self.open[-1][3].append(text)
+        return tag
 
 
 def page_inventory(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, holder, text): leaf texts by the element they stand in, digits
-    masked."""
+    """(key, holder, text): the text of each element of up to ``LEAF_MAX``
+    characters by tag and first class, digits masked."""
 
     def walk(batches):
         for pdf in batches:
             rows = []
             for k, body in zip(pdf["k"], pdf["h"], strict=True):
-                parser = _Leaves()
+                parser = _Elements()
                 parser.feed(body or "")
+                parser.close()
                 rows += [(k, *x) for x in parser.found]
             yield pd.DataFrame(rows, columns=["k", "holder", "text"])
 
@@ -211,35 +239,38 @@ def page_inventory(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def page_years(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, holder, year, n): years in the page by the element around them."""
+    """(key, holder, year, n): years in the page by the element before them, each
+    tag with the first year of the text that follows it."""
+    found = F.regexp_extract_all(F.col(html), F.lit(r"(?i)<[a-z0-9]+[^<>]*>[^<>]*?\b(?:19|20)\d\d\b"), 0)
+    spread = pages.select(F.col(key), F.explode(found).alias("m"))
+    named = spread.select(key, F.lower(F.regexp_extract("m", r"(?i)^<([a-z0-9]+)", 1)).alias("holder"), F.right("m", F.lit(4)).cast("int").alias("year"))
+    return named.groupBy(key, "holder", "year").agg(F.count("*").alias("n"))
 
-    def walk(batches):
-        for pdf in batches:
-            rows = []
-            for k, body in zip(pdf["k"], pdf["h"], strict=True):
-                for m in re.finditer(r"<([a-z0-9]+)[^<>]*>[^<>]*?\b((?:19|20)\d\d)\b", body or "", re.I):
-                    rows.append((k, m.group(1).lower(), int(m.group(2))))
-            yield pd.DataFrame(rows, columns=["k", "holder", "year"])
 
-    spread = pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(walk, "k long, holder string, year int")
-    return spread.groupBy("k", "holder", "year").agg(F.count("*").alias("n")).withColumnRenamed("k", key)
+def _plain_name(line: str) -> str:
+    bare = unicodedata.normalize("NFD", re.sub(r"\(\d\)", "", line))
+    return " ".join("".join(c for c in bare if not unicodedata.combining(c)).split()).lower()
 
 
 def featured_names(lines: list[str]) -> list[str]:
-    """Names in a summary table's lines: a line that stands again within the
-    next two (footnote marks aside), a subtitle between them skipped, each name
-    once."""
-    norm = lambda s: " ".join(re.sub(r"\s*\(\d{1,2}\)", "", "".join(c for c in unicodedata.normalize("NFD", s.lower()) if unicodedata.category(c) != "Mn")).split())
-    seen, out, at = set(), [], 0
-    while at < len(lines):
-        own = norm(lines[at])
-        gap = next((g for g in (1, 2) if at + g < len(lines) and norm(lines[at + g]) == own), 0)
-        if gap and own and own not in seen:
-            seen.add(own)
-            out.append(lines[at])
-        # name, subtitle, name, subtitle: the second subtitle goes with the pair
-        absorbed = gap == 2 and at + 3 < len(lines) and norm(lines[at + 3]) == norm(lines[at + 1])
-        at += gap + 1 + absorbed if gap else 1
+    """Names in a summary table's lines, each once: a line that stands again
+    within the next two (footnote marks aside), begins with a capital, is long
+    enough and no caption of the page. Where name and subtitle alternate, the
+    subtitle is added to the name."""
+    plain, seen, out = [_plain_name(x) for x in lines], set(), []
+    for at, own in enumerate(plain):
+        again = own in plain[at + 1 : at + 3] and own not in seen and own not in STOP_NAMES
+        if not again or len(own) < NAME_MIN or not lines[at][:1].isupper():
+            continue
+        seen.add(own)
+        name = re.sub(r"\s*\(\d\)\s*$", "", lines[at]).strip()
+        pattern = plain[at : at + 4]
+        if len(pattern) == 4 and pattern[:2] == pattern[2:] and pattern[1] != own:
+            subtitle = lines[at + 1].strip()
+            if len(subtitle) >= SUBTITLE_MIN and not re.fullmatch(r"\(\d+\)", subtitle):
+                name = f"{name} — {subtitle}"
+                seen.add(pattern[1])
+        out.append(name)
     return out
 
 
@@ -271,10 +302,6 @@ def fold_exact(c: Column) -> Column:
     return _string_udf("string", plain)(c)
 
 
-def unescape_exact(c: Column) -> Column:
-    return _string_udf("string", lambda t: None if t is None else html_lib.unescape(t))(c)
-
-
 def gzip_kb(c: Column) -> Column:
     """Size in KB after gzip, as a payload budget counts it."""
     return _string_udf("double", lambda t: len(gzip.compress((t or "").encode(), 9, mtime=0)) / 1024)(c)

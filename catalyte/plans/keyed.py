@@ -24,18 +24,68 @@ def duplicate_keys(t):
     return K.duplicate_keys(t.documents.select(F.md5("text").alias("body"), "lang"), ["body", "lang"])
 
 
+SNAPSHOTS = """
+    o AS (SELECT c_custkey, CASE WHEN c_custkey % 13 <> 0 THEN c_mktsegment END AS stamp FROM customer WHERE c_custkey % 7 <> 0),
+    n AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'MOVED' WHEN c_custkey % 17 <> 0 THEN c_mktsegment END AS stamp FROM customer WHERE c_custkey % 11 <> 0),
+    d AS (SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN o.c_custkey IS NULL THEN 'added' WHEN n.c_custkey IS NULL THEN 'removed' WHEN o.stamp IS DISTINCT FROM n.stamp AND o.c_custkey % 2 = 0 THEN 'updated' END AS kind,
+      o.stamp AS old_stamp, n.stamp AS new_stamp FROM o FULL JOIN n ON o.c_custkey = n.c_custkey)
+"""
+
+
+def _snapshots(t):
+    key = F.col("c_custkey")
+    old = t.customer.where("c_custkey % 7 <> 0").select("c_custkey", F.when(key % 13 != 0, F.col("c_mktsegment")).alias("stamp"))
+    new = t.customer.where("c_custkey % 11 <> 0").select("c_custkey", F.when(key % 5 == 0, "MOVED").when(key % 17 != 0, F.col("c_mktsegment")).alias("stamp"))
+    return old, new
+
+
+@query("q41_snapshot_diff", f"WITH {SNAPSHOTS} SELECT * FROM d WHERE kind IS NOT NULL")
+def snapshot_diff(t):
+    return K.snapshot_diff(*_snapshots(t), "c_custkey", "stamp", F.col("c_custkey") % 2 == 0)
+
+
 @query(
-    "q41_snapshot_diff",
-    """
-    WITH o AS (SELECT c_custkey, c_mktsegment AS stamp FROM customer WHERE c_custkey % 7 <> 0), n AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'MOVED' ELSE c_mktsegment END AS stamp FROM customer WHERE c_custkey % 11 <> 0)
-    SELECT c_custkey, CASE WHEN o.stamp IS NULL THEN 'added' WHEN n.stamp IS NULL THEN 'removed' ELSE 'updated' END AS kind, o.stamp AS old_stamp, n.stamp AS new_stamp
-    FROM o FULL JOIN n USING (c_custkey) WHERE o.stamp IS NULL OR n.stamp IS NULL OR (o.stamp <> n.stamp AND c_custkey % 2 = 0)
+    "q113_change_report",
+    f"""
+    WITH {SNAPSHOTS}, r AS (SELECT 'all' AS run, c_custkey, kind FROM d WHERE kind IS NOT NULL UNION ALL SELECT 'no stamps', c_custkey, kind FROM d WHERE kind IN ('added', 'removed')),
+    g AS (SELECT run, kind, count(*) AS n, array_to_string(list_sort(list(c_custkey))[1:50], ',') AS few FROM r GROUP BY 1, 2)
+    SELECT run, kind, n, CASE WHEN kind = 'updated' AND n > 20 THEN '' ELSE few END AS listed, greatest(n - 50, 0) AS more, kind = 'updated' AND n > 20 AS mass_churn FROM g
     """,
 )
-def snapshot_diff(t):
-    old = t.customer.where("c_custkey % 7 <> 0").select("c_custkey", F.col("c_mktsegment").alias("stamp"))
-    new = t.customer.where("c_custkey % 11 <> 0").select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, "MOVED").otherwise(F.col("c_mktsegment")).alias("stamp"))
-    return K.snapshot_diff(old, new, "c_custkey", "stamp", F.col("c_custkey") % 2 == 0)
+def change_report(t):
+    """A run with both snapshots, one without old stamps (nothing counts as
+    updated), and a first one (no difference at all)."""
+    old, new = _snapshots(t)
+    runs = {"all": old, "no stamps": old.withColumn("stamp", F.lit(None).cast("string")), "first": old.limit(0)}
+    out = None
+    for run, before in runs.items():
+        changes = K.snapshot_changes(before, new, "c_custkey", "stamp", F.col("c_custkey") % 2 == 0)
+        one = K.change_report(changes, "c_custkey", mass=20).withColumn("run", F.lit(run))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    "q117_owned_keys",
+    "SELECT 'k' || c_custkey AS key, CASE WHEN c_custkey % 4 = 0 AND c_custkey % 3 <> 0 THEN upper(c_name) ELSE c_name END AS value FROM customer WHERE c_custkey % 4 <> 0 OR c_custkey % 3 <> 0",
+)
+def owned_keys(t):
+    """A fetcher owns every fourth key: its rows replace those, or drop them where
+    it has none; the others' stay."""
+    key = F.concat(F.lit("k"), F.col("c_custkey").cast("string"))
+    own = F.col("c_custkey") % 4 == 0
+    current = t.customer.select(key.alias("key"), F.col("c_name").alias("value"), own.alias("own"))
+    fetched = t.customer.where("c_custkey % 3 <> 0").select(key.alias("key"), F.upper("c_name").alias("value"), own.alias("own"))
+    return K.merge_owned(current, fetched, F.col("own")).drop("own")
+
+
+@query(
+    "q118_one_a_day",
+    "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE CAST(o_orderdate AS DATE) NOT IN (SELECT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_quantity > 49) ORDER BY 1 DESC LIMIT 40",
+)
+def one_a_day(t):
+    taken = t.lineitem.where("l_quantity > 49").select(F.col("l_shipdate").cast("date").alias("day"))
+    return K.one_a_day(t.orders.select(F.col("o_orderdate").cast("date").alias("day")), "day", taken, 40)
 
 
 @query(

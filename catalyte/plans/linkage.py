@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import linkage as L
+from ..operators.keyed import numbered
 from ..sources.readers import conforming
 from .base import query
 
@@ -51,7 +52,7 @@ def containment_pairs(t):
 def _mode_sql(facet: str) -> str:
     return f"""
     {facet}_c AS (SELECT item_id, {facet}, count(*) AS n, min(rank) AS r FROM f GROUP BY 1, 2),
-    {facet}_m AS (SELECT item_id, arg_max({facet}, n * 1000000 - r) AS v, max(n) AS n, sum(n) AS total FROM {facet}_c GROUP BY 1)"""
+    {facet}_m AS (SELECT item_id, arg_max({facet}, row(n, -r)) AS v, max(n) AS n, sum(n) AS total FROM {facet}_c GROUP BY 1)"""
 
 
 @query(
@@ -143,7 +144,7 @@ CARRIERS = f"""
     s AS (SELECT doc_id, lang, source, title, unnest(w) AS token FROM d),
     g AS (SELECT token, count(*) AS series, count(DISTINCT title) AS titles FROM s WHERE NOT regexp_full_match(token, '[0-9]+') GROUP BY 1 HAVING count(*) >= 8),
     tc AS (SELECT token, source, count(*) AS n, min(doc_id) AS r FROM s SEMI JOIN g USING (token) GROUP BY 1, 2),
-    tm AS (SELECT token, arg_max(source, n * 1000000 - r) AS v, max(n) AS n, sum(n) AS total FROM tc GROUP BY 1),
+    tm AS (SELECT token, arg_max(source, row(n, -r)) AS v, max(n) AS n, sum(n) AS total FROM tc GROUP BY 1),
     c AS (SELECT token, series, titles, CASE WHEN n / total >= 0.5 THEN v END AS theme, round_even(CAST(n AS DOUBLE) / total, 3) AS theme_share FROM g JOIN tm USING (token))
 """
 
@@ -240,11 +241,87 @@ def synonym_collapse(t):
     """,
 )
 def concept_order(t):
-    from pyspark.sql import Window
-
     w = t.part.select("p_type", F.concat_ws(" ", "p_name", "p_brand").alias("title"), F.explode(F.split("p_name", " ")).alias("token"))
     g = w.groupBy("token").agg(F.count("*").alias("series"), F.count_distinct("title").alias("titles"))
     b = w.groupBy("p_type").agg(F.count("*").alias("n"))
-    place = lambda *c: F.row_number().over(Window.orderBy(*c)).cast("long")  # noqa: E731  one row a concept or theme
-    concepts = g.select(F.lit("concept").alias("kind"), F.col("token").alias("name"), place(F.desc("titles"), F.desc("series"), "token").alias("place"))
-    return concepts.union(b.select(F.lit("theme"), "p_type", place(F.desc("n"), "p_type")))
+    concepts = numbered(g, [F.desc("titles"), F.desc("series"), F.col("token")], "place")
+    themes = numbered(b, [F.desc("n"), F.col("p_type")], "place")
+    return concepts.select(F.lit("concept").alias("kind"), F.col("token").alias("name"), "place").union(themes.select(F.lit("theme"), "p_type", "place"))
+
+
+ROUTED = """
+    q AS (SELECT DISTINCT p_type || '/' || p_name AS query, p_type AS qt, p_name FROM part),
+    e AS (SELECT p_partkey, p_name, p_type, p_brand, p_size % 4 = 0 AS rate, p_size % 4 = 1 AS cost, p_partkey % 3 = 0 AS without, p_partkey % 2 = 0 AS yearly,
+      CASE p_partkey % 5 WHEN 0 THEN '%' WHEN 1 THEN '‰' ELSE '' END AS unit, CASE WHEN p_partkey % 7 <= 2 THEN 'local' ELSE 'country' END AS geo FROM part),
+    m AS (SELECT query, e.*, NOT yearly AS exact FROM q JOIN e USING (p_name)
+      WHERE (qt = 'PROMO') = rate AND NOT cost AND (qt = 'ECONOMY') = without AND (qt <> 'SMALL' OR unit = '%') AND (qt <> 'STANDARD' OR geo = 'local')),
+    f AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY exact DESC, yearly, p_partkey) AS rank FROM m)
+"""
+
+
+@query(
+    "q111_filtered_router",
+    f"""
+    WITH {ROUTED},
+    tc AS (SELECT query, p_type, count(*) AS n, min(rank) AS r FROM f GROUP BY 1, 2), tm AS (SELECT query, arg_max(p_type, row(n, -r)) AS v, max(n) AS n, sum(n) AS total FROM tc GROUP BY 1),
+    b AS (SELECT query, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY rank) FILTER (rank <= 25) AS candidates, count(*) AS n_candidates, count(*) > 25 AS truncated,
+      count(*) FILTER (exact) AS n_exact, array_to_string(list_sort(list_distinct(list(geo))), ',') AS geos FROM f GROUP BY 1)
+    SELECT query, CASE WHEN qt = 'LARGE' THEN 'Cinema' ELSE '' END AS category, candidates, n_candidates, truncated, n_exact, geos, CASE WHEN n / total >= 0.5 THEN v END AS theme,
+      round_even(CAST(n AS DOUBLE) / total, 3) AS theme_share, CASE WHEN n_exact > 0 THEN 'exact' WHEN n_candidates > 0 THEN 'family' END AS confidence
+    FROM q LEFT JOIN b USING (query) LEFT JOIN tm USING (query)
+    """,
+)
+def filtered_router(t):
+    """The whole router: a category set aside, then words, derivation, negation,
+    unit, first word and area. The oracle knows the answer from how the titles are
+    made."""
+    kind, name = F.col("p_type"), F.col("p_name")
+    title = F.concat(F.when(kind == "LARGE", "Cinema: ").otherwise(""), F.when(kind == "PROMO", "Taxa de ").otherwise(""), name, F.when(kind == "ECONOMY", " sem juros").otherwise(""))
+    asked = t.part.select("p_type", "p_name").distinct().select(
+        F.concat_ws("/", kind, name).alias("query"),
+        title.alias("q_title"),
+        F.when(kind == "SMALL", "%").alias("q_unit"),
+        F.when(kind == "STANDARD", "municipios").otherwise("portugal").alias("q_area"),
+    )
+    queries = L.described(L.without_category(asked, "q_title"), "q_title", F.col("q_unit"), "q")
+    size, at = F.col("p_size") % 4, F.col("p_partkey")
+    told = F.concat(F.when(size == 0, "Taxa de ").when(size == 1, "Custo de ").otherwise(""), name, F.when(at % 3 == 0, " sem juros").otherwise(""), F.when(at % 2 == 0, " anual").otherwise(""))
+    entries = t.part.select("p_partkey", told.alias("e_title"), F.when(at % 5 == 0, "%").when(at % 5 == 1, "‰").alias("e_unit"), F.when(at % 7 <= 2, "local").otherwise("country").alias("geo"), F.col("p_type").alias("theme"))
+    entries = L.described(entries, "e_title", F.col("e_unit"), "e").withColumn("e_geo", F.col("geo"))
+    families = L.filtered_families(queries, entries, "query", "p_partkey", "municipios", ["local"])
+    summary = L.family_summary(queries, families, "query", "p_partkey", ["theme"], labels="geo")
+    return summary.join(queries.select("query", "category"), "query")
+
+
+@query(
+    "q112_head_summary",
+    """
+    WITH q AS (SELECT DISTINCT p_name, split_part(p_name, ' ', 2) AS head, split_part(p_name, ' ', 1) AS tail FROM part),
+    e AS (SELECT p_partkey, split_part(p_name, ' ', 2) AS head, CASE WHEN p_brand = 'Brand#1' THEN '' ELSE split_part(p_name, ' ', 1) END AS tail, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_name || ' anual' END AS title,
+      [p_brand, p_type] AS themes, CASE WHEN p_size % 10 <> 0 THEN CAST(1990 + p_size % 10 AS VARCHAR) || '-' || CAST(2000 + p_size % 3 AS VARCHAR) END AS period FROM part),
+    m AS (SELECT q.p_name, e.*, e.title = q.p_name AS exact, row_number() OVER (PARTITION BY q.p_name ORDER BY p_partkey) AS rank FROM q JOIN e ON q.head = e.head AND (e.tail = '' OR e.tail = q.tail)),
+    t AS (SELECT p_name, p_partkey, unnest(themes) AS theme, unnest([1, 2]) AS pos FROM m), tc AS (SELECT p_name, theme, count(*) AS n, min(p_partkey * 10 + pos) AS p FROM t GROUP BY 1, 2),
+    tm AS (SELECT p_name, arg_max(theme, row(n, -p)) AS theme, max(n) AS n FROM tc GROUP BY 1),
+    b AS (SELECT p_name, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY rank) FILTER (rank <= 25) AS candidates, coalesce(string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY rank) FILTER (rank <= 25 AND exact), '') AS exact_title,
+      count(*) AS n, count(*) FILTER (exact) AS x, coalesce(array_to_string(list_sort(list_distinct(list(period) FILTER (period IS NOT NULL))), ','), '') AS period FROM m GROUP BY 1)
+    SELECT p_name, candidates, coalesce(b.n, 0) AS n_candidates, coalesce(b.n > 25, false) AS truncated, exact_title, coalesce(x, 0) AS n_exact, theme, round_even(CAST(tm.n AS DOUBLE) / b.n, 3) AS theme_share, period,
+      'by ' || tail AS filter, CASE WHEN b.n > 0 THEN false END AS filter_resolved, CASE WHEN x > 0 THEN 'exact' WHEN b.n = 1 THEN 'single' WHEN b.n > 1 THEN 'family' END AS confidence
+    FROM q LEFT JOIN b USING (p_name) LEFT JOIN tm USING (p_name)
+    """,
+)
+def head_summary(t):
+    words, silent = F.split("p_name", " "), F.array().cast("array<string>")
+    head, first = F.try_element_at(words, F.lit(2)).alias("head"), F.array(words[0])
+    queries = t.part.select("p_name").distinct().select("p_name", head, first.alias("tail"), T.norm_title(F.col("p_name")).alias("norm"), F.concat(F.lit("by "), words[0]).alias("filter"))
+    title = F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" anual")))
+    entries = t.part.select(
+        F.col("p_partkey").alias("code"),
+        F.col("p_partkey").alias("position"),
+        head,
+        F.when(F.col("p_brand") == "Brand#1", silent).otherwise(first).alias("tail"),
+        T.norm_title(title).alias("norm"),
+        F.array("p_brand", "p_type").alias("themes"),
+        F.when(F.col("p_size") % 10 != 0, 1990 + F.col("p_size") % 10).alias("start"),
+        (2000 + F.col("p_size") % 3).alias("end"),
+    )
+    return L.head_summary(queries, entries, "p_name", "code")

@@ -9,7 +9,8 @@ from ..operators import pages as P
 from ..sources import readers as R
 from .base import query
 
-UNESCAPE = "replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+#: What the pages hold; &amp; last, as it may begin another.
+UNESCAPE = "replace(replace(replace(replace(replace(replace(replace(replace({x}, '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
 BARE = "regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g')"
 
 
@@ -19,17 +20,18 @@ BARE = "regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ',
     SELECT page_id, trim({UNESCAPE.format(x="regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)")}) AS title,
       trim({UNESCAPE.format(x="regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)")}) AS h1, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang,
       md5(regexp_replace({UNESCAPE.format(x=f"regexp_replace({BARE}, '<[^>]+>', ' ', 'g')")}, '\\s+', ' ', 'g')) AS body,
-      'CO₂ a km²³ < 5' AS clean FROM pages
+      'CO₂ ' || regexp_extract(html, '<html lang="([a-z]+)"', 1) || ' km²³ < ' || page_id AS clean FROM pages
     """,
 )
 def page_fields(t):
     h = F.col("html")
-    marked = F.lit("CO<sub>2</sub> <em>a</em>  km<sup>23</sup> < 5")
+    lang = F.regexp_extract(h, '<html lang="([a-z]+)"', 1)
+    marked = F.concat(F.lit("CO<sub>2</sub> <em>"), lang, F.lit("</em>  km<sup>23</sup> < "), F.col("page_id").cast("string"))
     return t.pages.select(
         "page_id",
         P.title_of(h).alias("title"),
         F.trim(T.unescape(F.regexp_extract(h, r"(?s)<h1[^>]*>(.*?)</h1>", 1))).alias("h1"),
-        F.regexp_extract(h, '<html lang="([a-z]+)"', 1).alias("lang"),
+        lang.alias("lang"),
         F.md5(T.page_text(h)).alias("body"),
         T.strip_tags(T.unicode_digits(marked)).alias("clean"),
     )
@@ -87,6 +89,26 @@ def featured_lines(t):
     return P.featured_lines(l, "page_id", "l")
 
 
+@query(
+    "q114_entities",
+    "SELECT doc_id, source || 'ção é €–' || lang || ' &lt; &nosuch; &amp ' || chr(1) || '�' || CAST(length(text) AS VARCHAR) AS plain FROM documents",
+)
+def entities(t):
+    """Named, decimal and hexadecimal references; one that is escaped itself; what
+    is none."""
+    coded = F.concat("source", F.lit("&ccedil;&atilde;o&nbsp;&#233; &#x20aC;&#150;"), "lang", F.lit(" &amp;lt; &nosuch; &amp &#1;&#xD800;"), F.length("text").cast("string"))
+    return t.documents.select("doc_id", T.unescape(coded).alias("plain"))
+
+
+@query(
+    "q115_marker_census",
+    "SELECT page_id, (length(html) - length(replace(html, '<p', ''))) // 2 AS paragraphs, (length(html) - length(replace(html, 'href=\"', ''))) // 6 AS links, (length(html) - length(replace(html, '.', ''))) AS stops FROM pages",
+)
+def marker_census(t):
+    counts = P.marker_counts(F.col("html"), {"paragraphs": "<p", "links": 'href="', "stops": "."})
+    return t.pages.select("page_id", *(c.cast("long").alias(n) for c, n in zip(counts, ("paragraphs", "links", "stops"), strict=True)))
+
+
 @query("q101_payload_gzip")
 def payload_gzip(t):
     return t.documents.select("doc_id", P.gzip_kb(F.col("text")).alias("kb"), (P.gzip_kb(F.col("text")) <= 250).alias("within"))

@@ -95,7 +95,7 @@ def threshold_audit(t):
     """
     SELECT 'corpus' AS rule, (SELECT count(*) FROM documents) >= 0.95 * (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS ok
     UNION ALL SELECT 'pages', (SELECT count(*) FROM pages) >= 100 UNION ALL SELECT 'volume', (SELECT count(*) FROM labels) >= 50
-    UNION ALL SELECT 'same_lists', true UNION ALL SELECT 'contaminated', (SELECT count(*) FROM documents WHERE regexp_matches(source, 'Carregue|ver tabela')) = 0
+    UNION ALL SELECT 'same_lists', (SELECT count(DISTINCT lower(p_name)) FROM part) = (SELECT count(DISTINCT p_name) FROM part) UNION ALL SELECT 'contaminated', (SELECT count(*) FROM documents WHERE regexp_matches(source, 'Carregue|ver tabela')) = 0
     """,
 )
 def floor_report(t):
@@ -104,7 +104,8 @@ def floor_report(t):
         n(t.documents).join(F.broadcast(n(t.documents.where("doc_id % 2 = 0")).withColumnRenamed("n", "o")), F.lit(True)).select(F.lit("corpus").alias("rule"), (F.col("n") >= 0.95 * F.col("o")).alias("ok")),
         n(t.pages).select(F.lit("pages"), F.col("n") >= 100),
         n(t.labels).select(F.lit("volume"), F.col("n") >= 50),
-        t.spark.createDataFrame([(["A (1)", "B"],), (["a", "b"],)], "names array<string>").agg(F.count_distinct(F.transform("names", T.strip_footnotes)).alias("n")).select(F.lit("same_lists"), F.col("n") == 1),
+        # the names with footnote marks and in capitals make the list that they make without
+        t.part.agg(F.count_distinct(T.strip_footnotes(F.concat(F.upper("p_name"), F.lit(" ("), F.col("p_size").cast("string"), F.lit(")")))).alias("n"), F.count_distinct("p_name").alias("o")).select(F.lit("same_lists"), F.col("n") == F.col("o")),
         t.documents.agg(F.count_if(F.col("source").rlike("Carregue|ver tabela")).alias("n")).select(F.lit("contaminated"), F.col("n") == 0),
     ]
     out = rules[0]
@@ -125,6 +126,20 @@ def findings_unpivot(t):
     return Q.findings(j, "doc_id", {"short": F.length("text") < 200, "no_label": F.col("quality").isNull(), "mail": F.contains("text", F.lit("@"))})
 
 
-@query("q99_leaked_values", "SELECT CAST(coalesce(sum(len(regexp_extract_all(text, '(^|[^0-9,./-])-?[0-9]+,[0-9]+([^0-9,./-]|$)'))), 0) AS BIGINT) >= 0 AS counted FROM documents")
+@query(
+    "q99_leaked_values",
+    "SELECT CAST(sum(CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS leaks FROM part",
+)
 def leaked_values(t):
-    return Q.leaked_values(t.documents, F.array("text")).select((F.col("leaks") >= 0).alias("counted"))
+    """Excerpts with a decimal, with a negative and a grouped one, with a grouped
+    one, and with what only looks like values: years, dates, parts of numbers."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    excerpts = F.array_compact(
+        F.array(
+            F.concat(F.lit("em 2023, 2023-01-02, 1,2,3 e 10.5 "), key),
+            F.when(size % 2 == 0, F.concat(F.lit("valor "), key, F.lit(",5 de"))),
+            F.when(size % 3 == 0, F.concat(F.lit("-"), key, F.lit(",25 e 12 345 678"))),
+            F.when(size % 5 == 0, F.lit("1.234 pessoas")),
+        )
+    )
+    return Q.leaked_values(t.part, excerpts)

@@ -1,13 +1,14 @@
-"""Sources. Every reader declares its schema; files whose line order matters
-are read whole and numbered."""
+"""Sources. Every reader declares its schema; lines whose order matters are
+numbered over the splits they are read in."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators.durability import durable
 from ..operators.trees import depth_of, tree_paths
 
 HARVEST = (
@@ -28,10 +29,35 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def versions(spark: SparkSession, table: str) -> list[int]:
+    """Numbers of the versions table/v=<n>, in order."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(table)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
+
+
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, line): lines of text files, which are read in splits;
+    (block, at) ascends in file order."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    return lines.select("file", "block", F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) in file order."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    return whole
+    """(file, line_no, line) in file order, from 0. Lines are numbered within
+    their split; how many come before it is known from one count a split."""
+    lines = durable(ordered_lines(spark, path))
+    blocks = sorted((r["file"], r["block"], r["count"]) for r in lines.groupBy("file", "block").count().collect())
+    starts, now, total = [], None, 0
+    for file, block, count in blocks:
+        total = total if file == now else 0
+        starts.append((file, block, total))
+        now, total = file, total + count
+    before = F.broadcast(spark.createDataFrame(starts, "file string, block long, before long"))
+    local = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+    return lines.withColumn("local", local).join(before, ["file", "block"]).select("file", (F.col("before") + F.col("local")).alias("line_no"), "line")
 
 
 def url_list(spark: SparkSession, path: str, domain: str, sections: list[str]) -> DataFrame:

@@ -3,23 +3,39 @@ any file system and survive lost executors."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
 def replace_path(df: DataFrame, staged: str, final: str) -> None:
-    """Renames a finished write into place; readers see the old or the new
-    version."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    src, dst = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(final)
+    """Renames a finished write into place. The old version is renamed aside
+    first and deleted last, so a crash at any point loses neither: ``recover``
+    puts it back where the new one did not get into place."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    src, dst, old = (jvm.org.apache.hadoop.fs.Path(x) for x in (staged, final, final + ".old"))
     fs = dst.getFileSystem(conf)
-    if fs.exists(dst):
-        fs.delete(dst, True)
+    recover(df.sparkSession, final)
+    if fs.exists(dst) and not fs.rename(dst, old):
+        raise OSError(f"could not move {final} aside")
     if not fs.rename(src, dst):
+        recover(df.sparkSession, final)
         raise OSError(f"could not move {staged} to {final}")
+    fs.delete(old, True)
+
+
+def recover(spark: SparkSession, final: str) -> None:
+    """Ends a replacement that was broken off: the version moved aside comes back
+    where there is none, else it goes."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    dst, old = (jvm.org.apache.hadoop.fs.Path(x) for x in (final, final + ".old"))
+    fs = dst.getFileSystem(conf)
+    if fs.exists(old):
+        if fs.exists(dst):
+            fs.delete(old, True)
+        elif not fs.rename(old, dst):
+            raise OSError(f"could not move {final}.old back")
 
 
 def sorted_json_lines(df: DataFrame, path: str, key: str) -> None:
@@ -98,3 +114,9 @@ def markdown_table(df: DataFrame, limit: int = 100) -> str:
     rows = df.limit(limit).collect()
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])
+
+
+def clamped(c: Column, most: int = 60_000, notice: str = "\n\n_(output truncated to fit)_\n") -> Column:
+    """A text that a sink with a size limit takes: cut to ``most`` characters,
+    notice included."""
+    return F.when(F.length(c) > most, F.concat(F.substring(c, F.lit(1), F.lit(most - len(notice))), F.lit(notice))).otherwise(c)

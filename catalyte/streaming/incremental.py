@@ -14,14 +14,18 @@ from ..operators import keyed
 def upsert_stream(stream: DataFrame, table: str, key: str, checkpoint: str, empty: Callable[[], DataFrame]) -> StreamingQuery:
     """Merges micro-batches of records into the Parquet table at ``table``, with
     versions table/v=<batch>. A batch that runs again writes its version again,
-    so the merge is idempotent; good records survive failed fetches. Runs over
-    what is there and stops."""
-    from ..sources.readers import exists
+    so the merge is idempotent; good records survive failed fetches. Each batch
+    builds on the newest finished version before it; if there is none although
+    earlier batches ran, it fails rather than publish a table without them. Runs
+    over what is there and stops."""
+    from ..sources.readers import exists, versions
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = f"{table}/v={batch_id - 1}"
-        current = spark.read.parquet(before) if exists(spark, before) else empty()
+        before = [v for v in versions(spark, table) if v < batch_id and exists(spark, f"{table}/v={v}/_SUCCESS")]
+        if batch_id and not before:
+            raise FileNotFoundError(f"{table} has no version before {batch_id}")
+        current = spark.read.parquet(f"{table}/v={max(before)}") if before else empty()
         last = keyed.keep_last(batch, [key], "position") if "position" in batch.columns else batch
         merged = keyed.upsert_keep_good(current.select(*empty().columns), last.select(*empty().columns), key)
         merged.drop("refetch_error").write.mode("overwrite").parquet(f"{table}/v={batch_id}")

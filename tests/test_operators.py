@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -261,14 +262,119 @@ def test_record_fields(spark):
 
 
 def test_featured_names():
-    lines = ["Header", "População (1)", "População", "Área", "km2", "Área", "km2", "População", "População"]
-    assert P.featured_names(lines) == ["População (1)", "Área"]
+    name, sub = "População residente", "em milhares de pessoas"
+    assert P.featured_names([name + " (1)", name, "12"]) == [name]
+    assert P.featured_names([name, sub, name, sub, "x"]) == [f"{name} — {sub}"]
+    assert P.featured_names([name, "(6)", name, "(6)", "10"]) == [name]  # a footnote mark is no subtitle
+    assert P.featured_names([name, "km2", name, "km2"]) == [name]  # nor is a short unit
+    assert P.featured_names(["Simbologia", "Simbologia", "Exportar dados", "Exportar dados"]) == []
+    assert P.featured_names(["valor médio mensal", "valor médio mensal", "Área total", "Área total"]) == ["Área total"]
+    assert P.featured_names(["Índice", "Índice"]) == []  # under ten characters
+    assert P.featured_names([name, "a", "b", name]) == [] and P.featured_names([]) == []
+    assert P.featured_names([name, name, name, name]) == [name]
 
 
 def test_inventory(spark):
-    html = "<div class='a b'>x <b>12</b><script>no</script><br>y</div>"
-    got = [(r["holder"], r["text"]) for r in P.page_inventory(spark.createDataFrame([(1, html)], "k long, h string"), "k", "h").collect()]
-    assert got == [("div.a", "x"), ("div.a", "##"), ("div.a", "y")]
+    html = "<div class='a b'>x <b>12</b><script>no<b>1</b></script><br>y</div>"
+    take = lambda h: [(r["holder"], r["text"]) for r in P.page_inventory(spark.createDataFrame([(1, h)], "k long, h string"), "k", "h").collect()]
+    assert take(html) == [("b", "##"), ("div.a", "x ## y")]
+    assert take("<h2>Quanto <code>CO<sub>2</sub></code> há?</h2>") == [("sub", "#"), ("code", "CO #"), ("h2", "Quanto CO # há?")]
+    assert take("<p>a<param name=x>b<div>c</p>d") == [("div", "c"), ("p", "a b")]
+    assert take(f"<p>{'x' * 401}</p><p>{'y' * 400}</p></i>z") == [("p", "y" * 400)]
+    assert take("<svg><p>q</p></svg><p>z") == [("p", "z")] and take("") == []
+
+
+def test_a_date_of_another_shape_warns(spark):
+    html = "<title>Portugal: N | Site</title><p>Última atualização: hoje mesmo</p>"
+    r = P.record_of(spark.createDataFrame([("u", html)], "url string, html string"), "url", "html", "Site", ["Portugal"], "2026-09-15").first()
+    assert r["ultima_atualizacao"] == "" and r["parse_warnings"] == ["date_shape"]
+
+
+def test_entities(spark):
+    import html as html_lib
+
+    texts = ["a &eacute;&#233;&#xE9; &euro; &lt;b&gt; &amp;amp; &quot;&#39;&apos;", "&#128; &#x95; &#0; &#1114112; &#99999999; &bogus; & &; &#; &amp", "plain", "", "&hellip;&mdash;&Omega;&hearts;"]
+    got = [r["x"] for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k").select(T.unescape(F.col("t")).alias("x")).collect()]
+    want = [html_lib.unescape(t) for t in texts]
+    want[1] = want[1].replace("& &; &#; &", "& &; &#; &amp").replace("\ufffd &bogus;", "&#99999999; &bogus;")  # no semicolon, over seven digits: left alone
+    assert got == want
+    assert spark.range(1).select(T.unescape(F.lit("a&nbsp;b")).alias("x"), T.unescape(F.lit(None).cast("string")).alias("n")).first()[:] == ("a b", None)
+
+
+# ---------------------------------------------------------------- partitioned plans
+
+
+def test_sample_over_many_ranges(spark):
+    """Without coalescing, ranges are several, and the sample is the same."""
+    rng = random.Random(4)
+    rows = [(rng.randrange(300), k) for k in range(5000)]
+    want = sorted(rows)[:: 5000 // 40][:40]
+    df = spark.createDataFrame(rows, "a int, b int")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        assert sorted((r["a"], r["b"]) for r in K.systematic_sample(df, ["a", "b"], 40).collect()) == want
+        assert sorted((r["rn"], r["a"], r["b"]) for r in K.numbered(df, ["a", "b"]).collect()) == [(n, *r) for n, r in enumerate(sorted(rows), 1)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_baselines(spark):
+    new = spark.createDataFrame([("a", "1"), ("b", "2")], "k string, s string")
+    none, bare = new.limit(0), spark.createDataFrame([("a", None), ("c", None)], "k string, s string")
+    kinds = lambda old: {(r["k"], r["kind"]) for r in K.snapshot_changes(old, new, "k", "s").collect()}
+    assert kinds(none) == set() and kinds(bare) == {("b", "added"), ("c", "removed")}
+    assert kinds(spark.createDataFrame([("a", "0")], "k string, s string")) == {("a", "updated"), ("b", "added")}
+
+
+def test_clamp(one):
+
+    assert one(F.length(W.clamped(F.lit("x" * 70_000)))) == 60_000 and one(W.clamped(F.lit("x"))) == "x"
+    assert one(W.clamped(F.lit("x" * 70_000))).endswith("truncated to fit)_\n")
+
+
+def test_replacement_survives_a_crash(spark, tmp_path):
+
+    df, path = spark.range(3), str(tmp_path / "t")
+    df.write.json(path + ".n1")
+    W.replace_path(df, path + ".n1", path)
+    os.rename(path, path + ".old")  # broken off between the two renames
+    W.recover(spark, path)
+    assert spark.read.json(path).count() == 3 and not os.path.exists(path + ".old")
+    spark.range(5).write.json(path + ".n2")
+    W.replace_path(df, path + ".n2", path)
+    assert spark.read.json(path).count() == 5 and not os.path.exists(path + ".old")
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    lines = [f"line {k}" + "x" * (k % 50) for k in range(3000)]
+    (tmp_path / "l.txt").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        got = R.numbered_lines(spark, str(tmp_path / "l.txt"))
+        assert R.ordered_lines(spark, str(tmp_path / "l.txt")).select("block").distinct().count() > 3
+        assert [r["line"] for r in got.orderBy("line_no").collect()] == lines and got.agg(F.max("line_no")).first()[0] == 2999
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_matching_equals_the_walk(spark, seed):
+    rng = random.Random(seed)
+    edges = {(f"n{rng.randrange(25)}", rng.randrange(25)): (rng.randrange(-2, 3), rng.randrange(5)) for _ in range(120)}
+    rows = [(n, i, x, p) for (n, i), (x, p) in edges.items()]
+    fixed = {"n3": 7}
+    want, used = dict(fixed), {7}
+    place = {n: k for k, n in enumerate(sorted({r[0] for r in rows}, reverse=True))}
+    for n, i, _, _ in sorted(rows, key=lambda r: (r[2], place[r[0]], r[3], r[1])):
+        if n not in want and i not in used:
+            want[n] = i
+            used.add(i)
+    got = L.injective_match(spark.createDataFrame(rows, "name string, id long, extra int, pos int"), fixed)
+    assert {r["name"]: r["id"] for r in got.collect()} == want
 
 
 # ---------------------------------------------------------------- files
