@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import keyed as K
+from ..operators import nested as N
 from ..operators import linkage as L
 from ..operators import pages as P
 from ..operators import quality as Q
@@ -230,6 +231,44 @@ def key_census(t):
     return k.groupBy("path").agg(F.count("*").alias("n"), F.sum("numbers").alias("numbers"))
 
 
+def _responses(t):
+    body = F.concat(
+        F.lit('{"a":{"b":[{"valor":"1,5","d":{"e":true}},{"zz":1}],"l6":{"l5":{"l4":{"l3":{"l2":{"geo":{"deep":1}}}}}}},"n":null,"dim_1":"'),
+        F.col("event_id").cast("string"),
+        F.lit('","props":'),
+        F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise("[]"),
+        F.when(F.col("event_id") % 5 == 0, "").otherwise("}"),
+    )
+    return t.events.select("event_id", body.alias("body"))
+
+
+RESPONSE_PATHS = """
+    fixed(path, kind) AS (VALUES ('a', 'object'), ('a.b', 'array'), ('a.b[].valor', 'string'), ('a.b[].d', 'object'), ('a.b[].d.e', 'boolean'), ('a.l6', 'object'), ('a.l6.l5', 'object'), ('a.l6.l5.l4', 'object'),
+      ('a.l6.l5.l4.l3', 'object'), ('a.l6.l5.l4.l3.l2', 'object'), ('a.l6.l5.l4.l3.l2.geo', 'object'), ('n', 'null'), ('dim_1', 'string')),
+    good AS (SELECT * FROM events WHERE event_id % 5 <> 0),
+    paths AS (SELECT event_id, path, kind FROM good, fixed UNION ALL SELECT event_id, 'props', CASE WHEN event_id % 2 = 0 THEN 'object' ELSE 'array' END FROM good
+      UNION ALL SELECT event_id, 'props.' || unnest(json_keys(props)), 'number' FROM good WHERE event_id % 2 = 0)
+"""
+
+
+@query("q116_nested_census", f"WITH {RESPONSE_PATHS} SELECT path, kind, count(*) AS n FROM paths GROUP BY 1, 2")
+def nested_census(t):
+    """Paths of nested responses down to six levels; every fifth does not parse."""
+    return N.key_paths(_responses(t), "event_id", "body").groupBy("path", "kind").agg(F.count("*").alias("n"))
+
+
+@query(
+    "q119_response_profile",
+    f"""
+    WITH {RESPONSE_PATHS}, g AS (SELECT event_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(path) FILTER (regexp_matches(path, '(?i)valor|value|dim_|geo|dsg|ano|periodo'))))[1:20], ',') AS names FROM paths GROUP BY 1)
+    SELECT event_id, 2 + CASE WHEN event_id % 2 = 0 THEN len(regexp_extract_all(props, '"[0-9]+[.,]?[0-9]*"')) ELSE 0 END AS numbers, coalesce(n, 0) AS key_count, coalesce(names, '') AS value_like_keys
+    FROM events LEFT JOIN g USING (event_id)
+    """,
+)
+def response_profile(t):
+    return N.response_profile(_responses(t), "event_id", "body").withColumn("numbers", F.col("numbers").cast("long"))
+
+
 @query("q82_last_match", "SELECT user_id, arg_max(event_id, event_id) AS last_event, arg_max(value, event_id) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1")
 def last_match(t):
     return t.events.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("event_id").alias("last_event"), F.max_by("value", "event_id").alias("value"))
