@@ -40,10 +40,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Batches that go to Python hold about ``size`` bytes at most, where the
+    session has Spark's 64 MB: a task and its worker hold several copies of one."""
+    if spark.conf.get(BATCH).rstrip("b") == str(64 << 20):
+        spark.conf.set(BATCH, str(size))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there:
     lineage is cut, and a lost executor takes nothing with it."""
     ensure_checkpoint_dir(df.sparkSession)
+    bound_batches(df.sparkSession)
     return df.checkpoint()
 
 
@@ -74,7 +85,7 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 8 << 20):
+def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20):
     """``batch`` in runs of rows whose text is about ``limit`` bytes at most, so
     that a worker never holds the Python copies of a whole batch of long texts."""
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0)

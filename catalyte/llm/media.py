@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import bound_batches, slices, texts_of
 
 BLOCK = 64
 #: Quantisation: 8 for DC, so that a DC step is one grey level; 1 for AC.
@@ -317,6 +317,8 @@ def payload_of(image: Jpeg, coefficients: list[np.ndarray]) -> bytes:
 def with_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): every whole text as a JPEG column."""
 
+    bound_batches(docs.sparkSession)
+
     def work(batches):
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):

@@ -442,9 +442,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     Equal sets are collapsed first. Pairs are verified in rounds, so that a large
     group does not cost all of its pairs: each document with the closest that it
-    met, then with the closest of another component, then what else was found
-    between components; last, in large blocks, all that is near and not in one
-    component yet. Null texts count as empty, and
+    met, then what else was found between components; last, in large blocks, all
+    that is near and not in one component yet. Null texts count as empty, and
     texts without words are alike; repeated rows stay; an empty table gives no
     rows. Up to ``broadcast_ids`` ids of documents that met others are broadcast
     (a counted size); more are joined by shuffle.
@@ -484,11 +483,8 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, chunk: int, broad
         ways = some.select("a", "b", "d").union(some.select("b", "a", "d")).groupBy("a").agg(F.min(F.struct("d", "b")).alias("to"))
         return ways.select(F.least("a", "to.b").alias("a"), F.greatest("a", "to.b").alias("b")).distinct()
 
-    links, roots = verified(closest(pairs)), None
-    for every in (False, True):  # between components: the closest of each, then all
-        roots = durable(connected_components(links))
-        rest = durable(apart(pairs, roots))
-        links = links.union(verified(rest.select("a", "b") if every else closest(rest)))
+    links = verified(closest(pairs))
+    links = links.union(verified(apart(pairs, durable(connected_components(links))).select("a", "b")))
     roots = durable(connected_components(links))
     dense = durable(found.where("dense IS NOT NULL").select(F.col("dense").alias("block")).distinct())
     if dense.head(1):

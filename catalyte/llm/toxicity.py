@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, lowest_by_hash, mix, range_hashes, slices, texts_of
+from .common import bound_batches, durable, lowest_by_hash, mix, range_hashes, slices, texts_of
 
 WORD = re.compile(r"\w+")
 NGRAMS = (3, 4, 5)
@@ -227,6 +227,7 @@ def score(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 from ``limit``) for every row of
     ``docs``, over whole texts. Null and empty texts get the bias alone, never
     over one half; repeated rows stay; other columns are ignored."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept: list[Scorer] = []
 
@@ -244,6 +245,7 @@ def score(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
     """The rows of ``docs`` whose score is under ``limit``, all columns as they
     are."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept: list[Scorer] = []
 
