@@ -307,6 +307,8 @@ def _near_groups(batches, columns):
         if not batch.num_rows:
             continue
         now = [batch.column(c).to_numpy() for c in columns]
+        if (now[0][1:] < now[0][:-1]).any() or (rest is not None and now[0][0] < rest[0][-1]):
+            raise ValueError("rows of a block are not together")
         if rest is not None:
             now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
         last = int(np.searchsorted(now[0], now[0][-1]))
@@ -330,8 +332,8 @@ def _pairs_of(a: list, b: list, d: list) -> pa.RecordBatch:
 
 def _meet(most: int, close: int):
     """(a, b, d): pairs of each block at ``most`` differing bits, all of them among
-    few members, else a spanning forest of those at ``close`` bits; (dense):
-    blocks in which pairs were left out."""
+    few members, else a spanning forest of those at ``close`` bits, and members
+    with themselves; (dense): blocks in which pairs were left out."""
 
     def work(batches):
         for block, node, x, y in _near_groups(batches, ("block", "node", "x", "y")):
@@ -350,22 +352,27 @@ def _meet(most: int, close: int):
                 b.append(node[i[on] + gap])
                 d.append(off[on])
             for i, j in zip(begin[end - begin > FEW].tolist(), end[end - begin > FEW].tolist(), strict=True):
-                pool, left_out = np.arange(i, j), False
+                pool, left_out = np.arange(i, j), np.zeros(j - i, bool)
                 while len(pool) > 1:
                     todo, pool = [pool[0]], pool[1:]
                     while todo and len(pool):
                         at = todo.pop()
                         off = _apart(bits, pool, at)
-                        hit = off <= close
-                        left_out |= bool((off <= most).any())
+                        hit, near = off <= close, off <= most
+                        left_out[pool[near] - i] = True
+                        left_out[at - i] |= near.any()
                         if hit.any():
                             a.append(np.full(int(hit.sum()), node[at]))
                             b.append(node[pool[hit]])
                             d.append(off[hit])
                             todo.extend(pool[hit].tolist())
                             pool = pool[~hit]
-                if left_out:
+                if left_out.any():
                     dense.append(block[i])
+                    some = node[i:j][left_out]  # with itself: it has met others
+                    a.append(some)
+                    b.append(some)
+                    d.append(np.zeros(len(some), np.int64))
             yield _pairs_of(a, b, d)
             if dense:
                 none = pa.nulls(len(dense), pa.int64())
@@ -461,8 +468,8 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, chunk: int, broad
     hot, pair = _hot(own.select("node", "print"), positions, chunk), "a long, b long, d long, dense long"
     dealt = _dealt(own.select("node", "print"), positions, hot)
     found = durable(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_meet(most, close), pair).distinct())
-    pairs = found.where("dense IS NULL").select("a", "b", "d")
-    met = durable(own.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "doc_id"))
+    pairs = found.where("a <> b").select("a", "b", "d")
+    met = durable(own.join(found.where("dense IS NULL").select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "doc_id"))
     wanted = met.select("doc_id").distinct()
     wanted = F.broadcast(wanted) if met.count() <= broadcast_ids else wanted
     sets = durable(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, shingles array<long>").dropDuplicates(["node"]))
@@ -488,15 +495,14 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, chunk: int, broad
     roots = durable(connected_components(links))
     dense = durable(found.where("dense IS NOT NULL").select(F.col("dense").alias("block")).distinct())
     if dense.head(1):
-        # Only members that met others, in blocks with more than one component.
+        # Only members that met others; blocks of one component cost no comparison.
         members = own.select("node", "print").join(met.select("node"), "node", "left_semi")
-        rooted = durable(met.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-        spread = durable(_dealt(members, positions, hot).join(dense, "block", "left_semi").join(rooted, "node"))
-        mixed = spread.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("block")
+        rooted = met.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        facts = durable(sets.mapInArrow(_sketches, "node long, n long, wide array<long>").join(rooted, "node"))
         wide = [F.col("wide")[k].alias(f"w{k}") for k in range(PARITY // 64)]
-        sketches = durable(sets.mapInArrow(_sketches, "node long, n long, wide array<long>"))
-        again = spread.join(mixed, "block", "left_semi").join(sketches, "node").select("block", "node", "x", "y", "root", "n", *wide)
-        last = again.repartition("block").sortWithinPartitions("block").mapInArrow(_meet_apart(most, similarity), pair)
+        spread = _dealt(members, positions, hot).join(dense, "block", "left_semi").join(facts, "node").select("block", "node", "x", "y", "root", "n", *wide)
+        # Written before it is dealt: planned as one with the joins, rows came unsorted.
+        last = durable(spread).repartition("block").sortWithinPartitions("block").mapInArrow(_meet_apart(most, similarity), pair)
         links = links.union(verified(last.select("a", "b").distinct()))
         roots = durable(connected_components(links))
     classes = own.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))

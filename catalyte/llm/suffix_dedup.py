@@ -209,6 +209,8 @@ def _compare(min_words: int, seed_words: int):
                 continue
             table = pa.Table.from_batches(held)
             heads = table["head"].to_numpy()
+            if (heads[1:] < heads[:-1]).any():
+                raise ValueError("rows of a head are not together")
             last = int(np.searchsorted(heads, heads[-1]))  # the last group may go on
             held, size = table.slice(last).to_batches(), len(heads) - last
             begin = 0
@@ -235,9 +237,12 @@ def repeated_stretches(docs: DataFrame, base: DataFrame, firsts: DataFrame, min_
     shared = durable(found.select("head", (F.col("n") > hot).alias("hot")))
     met = positions.join(shared, "head").groupBy("doc_id", "k1").agg(F.collect_set(F.struct("head", "hot")).alias("met"))
     around = _keyed(docs).drop("k2").join(met, ["doc_id", "k1"]).mapInArrow(_contexts(min_words, seed_words), "doc_id long, k1 long, at long, head long, words string, h binary")
-    around = durable(around)
+    some_hot = bool(shared.where("hot").head(1))
+    around = durable(around) if some_hot else around  # read once where no head is hot
     sorted_rows = around.where("head IS NOT NULL").select("doc_id", "k1", "at", "head", "words").repartition("head").sortWithinPartitions("head")
     compared = sorted_rows.mapInArrow(_compare(min_words, seed_words), "doc_id long, k1 long, low long, high long, first long")
+    if not some_hot:
+        return compared
     counted = around.where("h IS NOT NULL").select("h", "doc_id", "k1", "at")
     twice = durable(counted.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last"))
     return compared.unionByName(counted.join(twice, "h").select("doc_id", "k1", F.col("at").alias("low"), F.col("at").alias("high"), "first"))
