@@ -101,10 +101,10 @@ def mode_share(rows: DataFrame, keys: list[str], value: str, position: str, name
     return _mode(rows.groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(position).alias("p")), keys, value, name)
 
 
-def _mode(counts: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    out = counts.groupBy(*keys).agg(F.max_by(value, F.struct("n", -F.col("p"))).alias("v"), F.max("n").alias("n"), F.sum("n").alias("all"))
+def _mode(counts: DataFrame, keys: list[str], value: str, name: str, **more: Column) -> DataFrame:
+    out = counts.groupBy(*keys).agg(F.max_by(value, F.struct("n", -F.col("p"))).alias("v"), F.max("n").alias("n"), F.sum("n").alias("all"), *(c.alias(k) for k, c in more.items()))
     share = F.bround(F.col("n") / F.col("all"), 3)
-    return out.select(*keys, F.when(F.col("n") / F.col("all") >= MIN_SHARE, F.col("v")).alias(name), share.alias(f"{name}_share"))
+    return out.select(*keys, F.when(F.col("n") / F.col("all") >= MIN_SHARE, F.col("v")).alias(name), share.alias(f"{name}_share"), *more)
 
 
 def family_summary(scope: DataFrame, families: DataFrame, key: str, member: str, facets: list[str], labels: str | None = None, stored: int = MAX_STORED) -> DataFrame:
@@ -260,16 +260,28 @@ def nearest(names: DataFrame, pool: DataFrame, k: int = 3) -> DataFrame:
     return sized.withColumn("extra", extra).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("name", "rank", "id", F.bround(F.col("shared") / F.col("n"), 3).alias("share"))
 
 
-def token_carriers(rows: DataFrame, key: str, title: str, theme: str, words: str, floor: int = 8) -> DataFrame:
+def token_carriers(rows: DataFrame, key: str, title: str, theme: str, words: str, floor: int = 8, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Per word the rows and distinct titles that carry it and the dominant
     theme; digits and rare words left out. ``rows`` needs a unique, ordered
-    ``key``."""
-    spread = rows.select(F.col(key).alias("__k"), F.col(title).alias("__t"), F.col(theme).alias("theme"), F.explode(words).alias("token")).where(~F.col("token").rlike("^[0-9]+$"))
-    # The words of all texts are spread and shuffled once; both sides read this.
-    seen = durable(spread.groupBy("token", "theme", "__t").agg(F.count("*").alias("n"), F.min("__k").alias("p")))
-    totals = seen.groupBy("token").agg(F.sum("n").alias("series"), F.count_distinct("__t").alias("titles")).where(F.col("series") >= floor)
-    counts = seen.groupBy("token", "theme").agg(F.sum("n").alias("n"), F.min("p").alias("p"))
-    return totals.join(_mode(counts, ["token"], "theme", "theme"), "token")
+    ``key`` and has each word of a row once; it is read three times.
+
+    A title of one row counts once for each of its words, so rows are summed up
+    by word and theme where they lie, and only rows whose title others have are
+    spread by word and title, to take off what was counted again. The shared
+    titles are broadcast up to ``broadcast_bytes`` (a counted size)."""
+
+    def spread(some: DataFrame, *columns: Column | str) -> DataFrame:
+        return some.select(*columns, F.explode(words).alias("token")).where(~F.col("token").rlike("^[0-9]+$"))
+
+    seen = spread(rows, F.col(key).alias("__k"), F.col(title).alias("__t"), F.col(theme).alias("theme"))
+    counts = seen.groupBy("token", "theme").agg(F.count("*").alias("n"), F.count("__t").alias("titled"), F.min("__k").alias("p"))
+    carried = _mode(counts, ["token"], "theme", "theme", series=F.sum("n"), titled=F.sum("titled")).where(F.col("series") >= floor)
+    titles = rows.select(F.col(title).alias("__t")).where("__t IS NOT NULL").groupBy("__t").count().where("count > 1")
+    shared = durable(titles.select("__t", F.monotonically_increasing_id().alias("number")))
+    small = (shared.agg(F.sum(F.octet_length("__t") + 16)).first()[0] or 0) <= broadcast_bytes
+    copies = rows.select(F.col(title).alias("__t"), F.col(words).alias(words)).join(F.broadcast(shared) if small else shared, "__t")
+    again = spread(copies, "number").groupBy("token", "number").count().groupBy("token").agg(F.sum(F.col("count") - 1).alias("again")).where("again > 0")
+    return carried.join(again, "token", "left").select("token", "series", (F.col("titled") - F.coalesce("again", F.lit(0))).alias("titles"), "theme", "theme_share")
 
 
 def absent_concepts(carriers: DataFrame, vocabulary: DataFrame) -> DataFrame:

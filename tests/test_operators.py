@@ -23,6 +23,25 @@ from catalyte.streaming import incremental as I
 # ---------------------------------------------------------------- linkage
 
 
+def test_carriers_write_no_row_for_each_word_and_title(spark, monkeypatch):
+    rng, written = random.Random(3), []
+    data = [(k, rng.choice([None, "one", "two", f"t{k}", f"t{k}"]), rng.choice(["a", "b", None]), rng.sample([f"w{i}" for i in range(40)] + ["7"], 20)) for k in range(150)]
+    df = spark.createDataFrame(data, "k long, t string, th string, w array<string>").repartition(3)
+    monkeypatch.setattr(L, "durable", lambda x, f=L.durable: written.append(f(x)) or written[-1])
+    want = {}
+    for w in {w for r in data for w in r[3] if w != "7"}:
+        own = [r for r in data if w in r[3]]
+        by = {x: [r[0] for r in own if r[2] == x] for x in {r[2] for r in own}}
+        top = max(by, key=lambda x: (len(by[x]), -min(by[x])))
+        want[w] = len(own), len({r[1] for r in own} - {None}), top if len(by[top]) >= len(own) / 2 else None, round(len(by[top]) / len(own), 3)
+    want = {w: x for w, x in want.items() if x[0] >= 70}
+    for size in (1 << 20, 0):
+        got = L.token_carriers(df, "k", "t", "th", "w", floor=70, broadcast_bytes=size).collect()
+        assert len(got) == len(want) > 5
+        assert {r["token"]: (r["series"], r["titles"], r["theme"], r["theme_share"]) for r in got} == want
+    assert max(x.count() for x in written) == 2
+
+
 def test_containment_against_brute_force(spark):
     random.seed(3)
     words = [f"w{k}" for k in range(30)]
