@@ -128,6 +128,17 @@ def test_quality_thresholds(spark, docs, none):
     assert {r["keep"] for r in untrained if r["n_tokens"]} == {True}
 
 
+def test_quality_alphabet_covers_whole_texts(spark):
+    """The most frequent word stands past the first 50,000 characters of one
+    text; ties go by the words' bytes."""
+    text = " ".join(f"filler{k:05}" for k in range(6000)) + " Late" * 3
+    df = spark.createDataFrame([(1, text), (2, None), (3, "late\u00a0x \x0bß")], "doc_id long, text string")
+    got = quality.choose_words(df, distinct=700)
+    want = ["late", *(f"filler{k:05}" for k in range(quality.WORDS - 1))]
+    assert got.tolist() == sorted(int(common.word_hashes(w)[0]) for w in want)
+    assert quality.fit(df)[0].words.tolist() == got.tolist()
+
+
 def naive_symbols(text: str | None, sample: list[str]) -> list[int]:
     """Symbols by the module's words: the 1,023 most frequent words of the sample
     by the order of their hashes, other words by the hash of their last three
