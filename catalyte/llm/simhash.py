@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable, free_name, mix, slices, texts_of, window_hashes, word_hashes
+from .common import connected_components, durable, free_name, mix, slices, texts_of, tidy, window_hashes, word_hashes
 
 #: Members that a block of fingerprints of random bits may have on average.
 MEMBERS = 1024
@@ -420,14 +420,14 @@ def _hot(own: DataFrame, positions: np.ndarray, chunk: int) -> DataFrame:
     """(block, parts): blocks of many members. Every 16th row shows which these
     are; that only decides how the work is dealt."""
     share = max(1, min(16, chunk // 256))
-    some = own.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).mapInArrow(_blocks(positions), BLOCKS)
+    some = own.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).mapInArrow(tidy(_blocks(positions)), BLOCKS)
     return durable(some.groupBy("block").count().where(F.col("count") * share > chunk).select("block", F.ceil(F.col("count") * share / chunk).cast("int").alias("parts")))
 
 
 def _dealt(own: DataFrame, positions: np.ndarray, hot: DataFrame) -> DataFrame:
     """(block, node, x, y): blocks of many members as pairs of chunks, each with
     a block number of its own."""
-    keyed, many = own.mapInArrow(_blocks(positions), BLOCKS), hot.count()
+    keyed, many = own.mapInArrow(tidy(_blocks(positions)), BLOCKS), hot.count()
     if not many:
         return keyed
     parts = F.coalesce("parts", F.lit(1))
@@ -462,17 +462,17 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, chunk: int, broad
     """``similar_documents`` with a hash of the text and the component's own
     number: (doc_id, key, root, component_id)."""
     rows = docs.select(F.col("doc_id").cast("long"), _text_key(docs).alias("key"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
-    prints = durable(rows.mapInArrow(_signatures(shingle), "doc_id long, key long, node long, print binary"))
+    prints = durable(rows.mapInArrow(tidy(_signatures(shingle)), "doc_id long, key long, node long, print binary"))
     own = durable(prints.groupBy("node", "print").agg(F.min("doc_id").alias("doc_id")))
     positions, most, close = sampled_blocks(own.count(), similarity), allowed_bits(similarity), int(CARRIED * (1 - agreement(similarity)))
     hot, pair = _hot(own.select("node", "print"), positions, chunk), "a long, b long, d long, dense long"
     dealt = _dealt(own.select("node", "print"), positions, hot)
-    found = durable(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_meet(most, close), pair).distinct())
+    found = durable(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(_meet(most, close)), pair).distinct())
     pairs = found.where("a <> b").select("a", "b", "d")
     met = durable(own.join(found.where("dense IS NULL").select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "doc_id"))
     wanted = met.select("doc_id").distinct()
     wanted = F.broadcast(wanted) if met.count() <= broadcast_ids else wanted
-    sets = durable(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, shingles array<long>").dropDuplicates(["node"]))
+    sets = durable(rows.join(wanted, "doc_id", "left_semi").mapInArrow(tidy(_sets(shingle)), "node long, shingles array<long>").dropDuplicates(["node"]))
 
     def verified(some: DataFrame) -> DataFrame:
         for x in "ab":
@@ -498,11 +498,11 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, chunk: int, broad
         # Only members that met others; blocks of one component cost no comparison.
         members = own.select("node", "print").join(met.select("node"), "node", "left_semi")
         rooted = met.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-        facts = durable(sets.mapInArrow(_sketches, "node long, n long, wide array<long>").join(rooted, "node"))
+        facts = durable(sets.mapInArrow(tidy(_sketches), "node long, n long, wide array<long>").join(rooted, "node"))
         wide = [F.col("wide")[k].alias(f"w{k}") for k in range(PARITY // 64)]
         spread = _dealt(members, positions, hot).join(dense, "block", "left_semi").join(facts, "node").select("block", "node", "x", "y", "root", "n", *wide)
         # Written before it is dealt: planned as one with the joins, rows came unsorted.
-        last = durable(spread).repartition("block").sortWithinPartitions("block").mapInArrow(_meet_apart(most, similarity), pair)
+        last = durable(spread).repartition("block").sortWithinPartitions("block").mapInArrow(tidy(_meet_apart(most, similarity)), pair)
         links = links.union(verified(last.select("a", "b").distinct()))
         roots = durable(connected_components(links))
     classes = own.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, free_name, range_hashes, slices, texts_of, window_hashes, word_bounds
+from .common import durable, free_name, range_hashes, slices, texts_of, tidy, window_hashes, word_bounds
 
 SPAN = "doc_id long, start long, n_words long, first_doc_id long, is_first boolean"
 #: Rows that a task compares at a time.
@@ -76,7 +76,7 @@ def kept_suffixes(docs: DataFrame, min_words: int, seed_words: int) -> DataFrame
                     [batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(counts, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "n", "heads"]
                 )
 
-    return _keyed(docs).mapInArrow(work, "doc_id long, k1 long, k2 long, n long, heads array<long>")
+    return _keyed(docs).mapInArrow(tidy(work), "doc_id long, k1 long, k2 long, n long, heads array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -236,11 +236,11 @@ def repeated_stretches(docs: DataFrame, base: DataFrame, firsts: DataFrame, min_
     found = positions.groupBy("head").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a <> b")
     shared = durable(found.select("head", (F.col("n") > hot).alias("hot")))
     met = positions.join(shared, "head").groupBy("doc_id", "k1").agg(F.collect_set(F.struct("head", "hot")).alias("met"))
-    around = _keyed(docs).drop("k2").join(met, ["doc_id", "k1"]).mapInArrow(_contexts(min_words, seed_words), "doc_id long, k1 long, at long, head long, words string, h binary")
+    around = _keyed(docs).drop("k2").join(met, ["doc_id", "k1"]).mapInArrow(tidy(_contexts(min_words, seed_words)), "doc_id long, k1 long, at long, head long, words string, h binary")
     some_hot = bool(shared.where("hot").head(1))
     around = durable(around) if some_hot else around  # read once where no head is hot
     sorted_rows = around.where("head IS NOT NULL").select("doc_id", "k1", "at", "head", "words").repartition("head").sortWithinPartitions("head")
-    compared = sorted_rows.mapInArrow(_compare(min_words, seed_words), "doc_id long, k1 long, low long, high long, first long")
+    compared = sorted_rows.mapInArrow(tidy(_compare(min_words, seed_words)), "doc_id long, k1 long, low long, high long, first long")
     if not some_hot:
         return compared
     counted = around.where("h IS NOT NULL").select("h", "doc_id", "k1", "at")
@@ -303,7 +303,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, seed_words: int = 20, h
     """
     marks, copies = _repeats(docs, min_words, seed_words, hot)
     whole = copies.where(F.col("n") >= min_words).select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("n_words"), F.col("rep").alias("first_doc_id"), (F.col("doc_id") == F.col("rep")).alias("is_first"))
-    return marks.select("doc_id", "marks").mapInArrow(_spans(min_words), SPAN).unionByName(whole)
+    return marks.select("doc_id", "marks").mapInArrow(tidy(_spans(min_words)), SPAN).unionByName(whole)
 
 
 def _cut(text: str, at: np.ndarray, min_words: int) -> str:
@@ -360,4 +360,4 @@ def without_repeats(docs: DataFrame, min_words: int = 50, seed_words: int = 20,
 
     same = (docs["doc_id"].cast("long") == cuts[doc]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == cuts[key])
     joined = docs.join(cuts, same, "left").where(F.col(copy).isNull() | ~F.col(copy))
-    return joined.select(*names, own).mapInArrow(work, docs.schema)
+    return joined.select(*names, own).mapInArrow(tidy(work), docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, durable, lowest_by_hash, mix, range_hashes, slices, texts_of
+from .common import bound_batches, durable, lowest_by_hash, mix, range_hashes, slices, texts_of, tidy
 
 WORD = re.compile(r"\w+")
 NGRAMS = (3, 4, 5)
@@ -247,13 +247,11 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
     are."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept: list[Scorer] = []
 
     def work(batches):
-        scorer = kept[0] if kept else Scorer(shared.value)
-        kept[:] = [scorer]
+        scorer = Scorer(shared.value)
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 yield batch.filter(pa.array(scorer(texts_of(batch.column("text"))) < limit))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidy(work), docs.schema)

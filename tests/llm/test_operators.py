@@ -128,6 +128,31 @@ def test_quality_thresholds(spark, docs, none):
     assert {r["keep"] for r in untrained if r["n_tokens"]} == {True}
 
 
+def test_tidy_drops_what_encoders_keep(spark):
+    """On the worker too, where functions arrive by value."""
+
+    def kept(batches):
+        import pyarrow as pa
+
+        from catalyte.llm import common
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(common._ENCODERS)] * b.num_rows, pa.int64())], names=["n"])
+
+    for encodes, want in ((False, 0), (True, 1)):
+        tidied = common.tidy(kept, encodes=encodes)
+
+        def work(batches, tidied=tidied):
+            from catalyte.llm import common
+
+            common._ENCODERS.clear()
+            common._ENCODERS["x"] = None
+            yield from tidied(batches)
+            common._ENCODERS.clear()
+
+        assert [r["n"] for r in spark.range(2).coalesce(1).mapInArrow(work, "n long").collect()] == [want, want]
+
+
 def test_quality_alphabet_covers_whole_texts(spark):
     """The most frequent word stands past the first 50,000 characters of one
     text; ties go by the words' bytes."""
