@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable, free_name, mix, slices, texts_of, tidy, window_hashes, word_hashes
+from .common import connected_components, durable, forest_components, free_name, mix, slices, texts_of, tidy, window_hashes, word_hashes
 
 #: Members that a block of fingerprints of random bits may have on average.
 MEMBERS = 1024
@@ -490,9 +490,12 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, chunk: int, broad
         ways = some.select("a", "b", "d").union(some.select("b", "a", "d")).groupBy("a").agg(F.min(F.struct("d", "b")).alias("to"))
         return ways.select(F.least("a", "to.b").alias("a"), F.greatest("a", "to.b").alias("b")).distinct()
 
-    links = verified(closest(pairs))
-    links = links.union(verified(apart(pairs, durable(connected_components(links))).select("a", "b")))
-    roots = durable(connected_components(links))
+    def joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+        # Of a group's many links those to its root are enough.
+        return durable(forest_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
+
+    roots = durable(forest_components(verified(closest(pairs))))
+    roots = joined(roots, verified(apart(pairs, roots)))
     dense = durable(found.where("dense IS NOT NULL").select(F.col("dense").alias("block")).distinct())
     if dense.head(1):
         # Only members that met others; blocks of one component cost no comparison.
@@ -503,8 +506,7 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, chunk: int, broad
         spread = _dealt(members, positions, hot).join(dense, "block", "left_semi").join(facts, "node").select("block", "node", "x", "y", "root", "n", *wide)
         # Written before it is dealt: planned as one with the joins, rows came unsorted.
         last = durable(spread).repartition("block").sortWithinPartitions("block").mapInArrow(tidy(_meet_apart(most, similarity)), pair)
-        links = links.union(verified(last.select("a", "b").distinct()))
-        roots = durable(connected_components(links))
+        roots = joined(roots, verified(last.select("a", "b").distinct()))
     classes = own.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return prints.select("doc_id", "key", "node").join(classes.select("node", "root").join(least, "root"), "node").select("doc_id", "key", "root", "component_id")

@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from catalyte.llm import simhash
+from catalyte.llm import common, simhash
 
 from . import brute
 from ..conftest import TINY
@@ -58,6 +58,39 @@ def test_a_large_group(spark, chunk):
     assert got == brute.similar(dict(rows))
 
 
+def test_rounds_get_no_more_links_than_members(spark, monkeypatch):
+    """Near copies meet in most blocks, each of which links them anew; rounds of
+    joins must not get those links."""
+    rng, given, rounds = random.Random(9), [], common.connected_components
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    base = [word() for _ in range(300)]
+    texts = [" ".join(base[:k] + [word() for _ in range(4)] + base[k + 4 :]) for k in range(0, 240, 4)]
+
+    def counted(edges, *more):
+        given.append(edges.count())
+        return rounds(edges, *more)
+
+    monkeypatch.setattr(common, "connected_components", counted)
+    monkeypatch.setattr(simhash, "connected_components", counted)
+    got = simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert all(n <= len(texts) for n in given), given
+
+
+@pytest.mark.parametrize("unit", [1 << 20, 50])
+def test_forest_components(spark, unit):
+    rng = random.Random(3)
+    edges = [(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(330)] + [(k, k + 1) for k in range(1000, 1060)] + [(7000, 7000)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(9)
+    got = {r["node"]: r["root"] for r in common.forest_components(frame, unit).collect()}
+    want = {n: n for e in edges for n in e}
+    for _ in want:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    assert {n: got.get(n, n) for n in want} == want
+    assert common.forest_components(frame.limit(0), unit).count() == 0
+
+
 def test_recall_and_precision(spark):
     """Pairs of just over the similarity asked for are found; none is made up."""
     rng = random.Random(11)
