@@ -260,28 +260,40 @@ def nearest(names: DataFrame, pool: DataFrame, k: int = 3) -> DataFrame:
     return sized.withColumn("extra", extra).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("name", "rank", "id", F.bround(F.col("shared") / F.col("n"), 3).alias("share"))
 
 
-def token_carriers(rows: DataFrame, key: str, title: str, theme: str, words: str, floor: int = 8, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def token_carriers(rows: DataFrame, key: str, title: str, theme: str, words: str, floor: int = 8, broadcast_bytes: int = 32 << 20, known: Column | None = None) -> DataFrame:
     """Per word the rows and distinct titles that carry it and the dominant
-    theme; digits and rare words left out. ``rows`` needs a unique, ordered
-    ``key`` and has each word of a row once; it is read three times.
+    theme; digits and rare words left out, and words of rows that are ``known``.
+    ``rows`` needs a unique, ordered ``key`` and has each word of a row once; it is
+    read four times.
 
-    A title of one row counts once for each of its words, so rows are summed up
-    by word and theme where they lie, and only rows whose title others have are
-    spread by word and title, to take off what was counted again. The shared
-    titles are broadcast up to ``broadcast_bytes`` (a counted size)."""
+    Words are counted first; only what is left of them is spread by theme and by
+    title, as numbers. A title of one row counts once for each of its words, so
+    rows are summed up by word and theme where they lie, and only rows whose title
+    others have are spread by word and title, to take off what was counted again.
+    The words left and the shared titles are broadcast up to ``broadcast_bytes``
+    each (a counted size); more words are summed up with the others."""
 
     def spread(some: DataFrame, *columns: Column | str) -> DataFrame:
         return some.select(*columns, F.explode(words).alias("token")).where(~F.col("token").rlike("^[0-9]+$"))
 
-    seen = spread(rows, F.col(key).alias("__k"), F.col(title).alias("__t"), F.col(theme).alias("theme"))
-    counts = seen.groupBy("token", "theme").agg(F.count("*").alias("n"), F.count("__t").alias("titled"), F.min("__k").alias("p"))
-    carried = _mode(counts, ["token"], "theme", "theme", series=F.sum("n"), titled=F.sum("titled")).where(F.col("series") >= floor)
+    fits = lambda some, text: (some.agg(F.sum(F.octet_length(text) + 16)).first()[0] or 0) <= broadcast_bytes
+    knows = F.lit(False) if known is None else F.coalesce(known, F.lit(False))
+    often = spread(rows, knows.alias("known")).groupBy("token").agg(F.count("*").alias("n"), F.bool_or("known").alias("known"))
+    left = numbered(often.where((F.col("n") >= floor) & ~F.col("known")).select("token"), ["token"], "word")
+    few = fits(left, "token")
+    left = left if few else left.select("token", F.col("token").alias("word"))
+
+    def kept(some: DataFrame) -> DataFrame:
+        return some.join(F.broadcast(left), "token").drop("token") if few else some.withColumnRenamed("token", "word")
+
+    seen = kept(spread(rows, F.col(key).alias("__k"), F.col(title).alias("__t").isNotNull().alias("named"), F.col(theme).alias("theme")))
+    counts = seen.groupBy("word", "theme").agg(F.count("*").alias("n"), F.count_if("named").alias("titled"), F.min("__k").alias("p"))
+    carried = _mode(counts, ["word"], "theme", "theme", series=F.sum("n"), titled=F.sum("titled"))
     titles = rows.select(F.col(title).alias("__t")).where("__t IS NOT NULL").groupBy("__t").count().where("count > 1")
     shared = durable(titles.select("__t", F.monotonically_increasing_id().alias("number")))
-    small = (shared.agg(F.sum(F.octet_length("__t") + 16)).first()[0] or 0) <= broadcast_bytes
-    copies = rows.select(F.col(title).alias("__t"), F.col(words).alias(words)).join(F.broadcast(shared) if small else shared, "__t")
-    again = spread(copies, "number").groupBy("token", "number").count().groupBy("token").agg(F.sum(F.col("count") - 1).alias("again")).where("again > 0")
-    return carried.join(again, "token", "left").select("token", "series", (F.col("titled") - F.coalesce("again", F.lit(0))).alias("titles"), "theme", "theme_share")
+    copies = rows.select(F.col(title).alias("__t"), F.col(words).alias(words)).join(F.broadcast(shared) if fits(shared, "__t") else shared, "__t")
+    again = kept(spread(copies, "number")).groupBy("word", "number").count().groupBy("word").agg(F.sum(F.col("count") - 1).alias("again")).where("again > 0")
+    return left.join(carried, "word").join(again, "word", "left").select("token", "series", (F.col("titled") - F.coalesce("again", F.lit(0))).alias("titles"), "theme", "theme_share")
 
 
 def absent_concepts(carriers: DataFrame, vocabulary: DataFrame) -> DataFrame:

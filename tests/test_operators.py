@@ -42,6 +42,31 @@ def test_carriers_write_no_row_for_each_word_and_title(spark, monkeypatch):
     assert max(x.count() for x in written) == 2
 
 
+def test_rare_words_of_carriers_are_dealt_once(spark):
+    """Words in one row alone are counted, but not dealt out by theme and by title
+    as well."""
+    rng = random.Random(4)
+    data = [(k, f"t{k % 50}", f"th{k % 5}", ["common", *("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=16)) for _ in range(300))]) for k in range(200)]
+    df = spark.createDataFrame(data, "k long, t string, th string, w array<string>").repartition(3)
+    dealt = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    df.write.format("noop").mode("overwrite").save()
+    before = dealt()
+    df.write.format("noop").mode("overwrite").save()
+    start = dealt()
+    rows = [tuple(r) for r in L.token_carriers(df, "k", "t", "th", "w").collect()]
+    assert rows == [("common", 200, 50, "th0", 0.2)] or rows == [("common", 200, 50, None, 0.2)]
+    own = (start - before) * 4  # ``df`` is dealt out anew each time that it is read
+    assert dealt() - start - own < 2 * 16 * 300 * 200
+
+
+def test_carriers_leave_known_words_out(spark):
+    data = [(k, f"t{k}", "a", ["both", "new"] if k % 2 else ["new", "old"], k == 4) for k in range(20)] + [(20, "t", "a", ["new", "void"], None)]
+    df = spark.createDataFrame(data, "k long, t string, th string, w array<string>, f boolean")
+    for size in (1 << 20, 0):
+        got = L.token_carriers(df, "k", "t", "th", "w", floor=1, broadcast_bytes=size, known=F.col("f")).collect()
+        assert {(r["token"], r["series"], r["titles"]) for r in got} == {("both", 10, 10), ("void", 1, 1)}
+
+
 def test_containment_against_brute_force(spark):
     random.seed(3)
     words = [f"w{k}" for k in range(30)]
