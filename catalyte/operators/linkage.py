@@ -7,6 +7,8 @@ and full containment is verified on the arrays.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -270,8 +272,9 @@ def token_carriers(rows: DataFrame, key: str, title: str, theme: str, words: str
     title, as numbers. A title of one row counts once for each of its words, so
     rows are summed up by word and theme where they lie, and only rows whose title
     others have are spread by word and title, to take off what was counted again.
-    The words left and the shared titles are broadcast up to ``broadcast_bytes``
-    each (a counted size); more words are summed up with the others."""
+    The words left and hashes of the shared titles are broadcast up to
+    ``broadcast_bytes`` each (a counted size); more words are summed up with the
+    others, and what has more shared titles is joined by shuffle."""
 
     def spread(some: DataFrame, *columns: Column | str) -> DataFrame:
         return some.select(*columns, F.explode(words).alias("token")).where(~F.col("token").rlike("^[0-9]+$"))
@@ -289,10 +292,18 @@ def token_carriers(rows: DataFrame, key: str, title: str, theme: str, words: str
     seen = kept(spread(rows, F.col(key).alias("__k"), F.col(title).alias("__t").isNotNull().alias("named"), F.col(theme).alias("theme")))
     counts = seen.groupBy("word", "theme").agg(F.count("*").alias("n"), F.count_if("named").alias("titled"), F.min("__k").alias("p"))
     carried = _mode(counts, ["word"], "theme", "theme", series=F.sum("n"), titled=F.sum("titled"))
-    titles = rows.select(F.col(title).alias("__t")).where("__t IS NOT NULL").groupBy("__t").count().where("count > 1")
-    shared = durable(titles.select("__t", F.monotonically_increasing_id().alias("number")))
-    copies = rows.select(F.col(title).alias("__t"), F.col(words).alias(words)).join(F.broadcast(shared) if fits(shared, "__t") else shared, "__t")
-    again = kept(spread(copies, "number")).groupBy("word", "number").count().groupBy("word").agg(F.sum(F.col("count") - 1).alias("again")).where("again > 0")
+    titles = rows.select(F.col(title).alias("__t")).where("__t IS NOT NULL").groupBy("__t").count()
+    for salt in count():  # a title's hash stands for it; where two have the same, other hashes are taken
+        number = lambda t: F.xxhash64(t, F.lit(salt)).alias("number")  # noqa: E731, B023
+        shared = durable(titles.groupBy(number("__t")).agg(F.count("*").alias("titles"), F.max("count").alias("most")).where("titles > 1 OR most > 1"))
+        if not shared.where("titles > 1").head(1):
+            break
+    titled = rows.where(F.col(title).isNotNull()).select(number(title), F.col(words).alias(words))
+    if shared.count() * 16 <= broadcast_bytes:
+        pairs = kept(spread(titled.join(F.broadcast(shared.select("number")), "number", "left_semi"), "number"))
+    else:  # numbers are dealt out, not words
+        pairs = kept(spread(titled, "number")).join(shared.select("number"), "number", "left_semi")
+    again = pairs.groupBy("word", "number").count().groupBy("word").agg(F.sum(F.col("count") - 1).alias("again")).where("again > 0")
     return left.join(carried, "word").join(again, "word", "left").select("token", "series", (F.col("titled") - F.coalesce("again", F.lit(0))).alias("titles"), "theme", "theme_share")
 
 

@@ -59,6 +59,20 @@ def test_rare_words_of_carriers_are_dealt_once(spark):
     assert dealt() - start - own < 2 * 16 * 300 * 200
 
 
+def test_long_shared_titles_do_not_deal_words_out(spark):
+    """Shared titles of more text than may be broadcast: their hashes may be, so
+    the words of their rows stay where they are."""
+    rng, word = random.Random(6), lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=16))
+    long = [" ".join(word() for _ in range(60)) for _ in range(20)]
+    data = [(k, long[k % 20], "th", ["common", *(word() for _ in range(300))]) for k in range(200)]
+    df = spark.createDataFrame(data, "k long, t string, th string, w array<string>")
+    dealt = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    start = dealt()
+    got = [tuple(r) for r in L.token_carriers(df, "k", "t", "th", "w", broadcast_bytes=8 << 10).collect()]
+    assert got == [("common", 200, 20, "th", 1.0)]
+    assert dealt() - start < 1.5 * 16 * 300 * 200
+
+
 def test_carriers_leave_known_words_out(spark):
     data = [(k, f"t{k}", "a", ["both", "new"] if k % 2 else ["new", "old"], k == 4) for k in range(20)] + [(20, "t", "a", ["new", "void"], None)]
     df = spark.createDataFrame(data, "k long, t string, th string, w array<string>, f boolean")
